@@ -217,10 +217,10 @@ def search(index: DataFrame, items: DataFrame) -> DataFrame:
         )
         names = spark.createDataFrame([(bytearray(w),) for w in sorted(vocabulary)] or [(bytearray(b""),)], "terms binary")
         rarity = {bytes(r[0]): r[1] for r in frequency.join(names, "terms", "left_semi").collect()}
-        shared = spark.sparkContext.broadcast(Queries(block, rarity))
+        shared = spark.sparkContext.broadcast((block, rarity))  # one block
 
         def work(batches):
-            queries = shared.value
+            queries = Queries(*shared.value)
             for batch in batches:
                 for row in batch.to_pylist():
                     shard = Shard.of_row(row["sizes"], row["terms"], row["counts"], row["positions"])
@@ -266,11 +266,11 @@ def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     Arrow batch is indexed in shards and searched where it is read."""
     rows, n = _blocks(items)
     for k in range(n):
-        shared = docs.sparkSession.sparkContext.broadcast(Queries(_block(rows, k)))
+        shared = docs.sparkSession.sparkContext.broadcast(_block(rows, k))
         at = docs.columns.index("text")
 
         def work(batches, shared=shared, at=at):
-            queries = shared.value
+            queries = Queries(shared.value)
             for batch in batches:
                 texts, keep = list(utf8_rows(batch.column(at).cast(pa.string()))), np.ones(batch.num_rows, bool)
                 for a, b in slices([len(t) for t in texts], SHARD_BYTES):
