@@ -52,7 +52,7 @@ def nfc(text: Column) -> Column:
     def form(s: pd.Series) -> pd.Series:
         return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
-    return F.translate(form(text), " ​‌﻿", " ")
+    return F.translate(form(text), "\u00a0\u200b\u200c\ufeff", " ")
 
 
 def collapse_space(text: Column) -> Column:

@@ -31,7 +31,7 @@ def parse_taxonomy(raw: DataFrame) -> DataFrame:
     """pos, uri, preferred_label, alt_labels, skill_type, reuse_level,
     description from the CSV's columns; rows without uri or label go."""
     first = raw.columns[0]
-    raw = raw.withColumnRenamed(first, first.lstrip("﻿"))
+    raw = raw.withColumnRenamed(first, first.lstrip("\ufeff"))
     alts = F.filter(F.transform(F.split(F.coalesce("altLabels", F.lit("")), "\\n|\\\\n"), lambda x: F.trim(x)), lambda x: (x != "") & (x != F.trim("preferredLabel")))
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     rows = raw.withColumn("pos", F.monotonically_increasing_id()).where(blank("conceptUri").isNotNull() & blank("preferredLabel").isNotNull())
