@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import alignment as A
+from ..operators import clustering as C
 from ..operators import dataset as B
 from ..operators import dedup as D
 from ..operators import evaluation as E
 from ..operators import recommendations as R
 from ..operators import skills as K
 from ..operators import tuning as P
+from ..operators import vectors as V
 from ..sources import files as S
 from .sql import compose
 from .views import Views
@@ -564,5 +566,17 @@ def _(v):
 query("kmeans_labels", None)(lambda v: B.kmeans_labels(v.vectors.select("record_id", "embedding"), 6))
 
 
+for _algorithm in ("bisecting", "hdbscan", "agglomerative"):
+    query(f"{_algorithm}_labels", None)(lambda v, a=_algorithm: C.fit_clusters(C.vector_features(v.vectors), a, 6))
+
+
+@query("nearest_label", """WITH l AS (SELECT 'v' || record_id AS uri, embedding FROM vec JOIN rec USING (record_id) WHERE source_type = 'programme')
+    SELECT c.record_id AS candidate_id, l.uri, round(list_cosine_similarity(c.embedding, l.embedding)::DOUBLE, 5) AS cosine FROM vec c, l QUALIFY row_number() OVER (PARTITION BY c.record_id ORDER BY round(list_cosine_similarity(c.embedding::DOUBLE[], l.embedding::DOUBLE[]), 9) DESC, l.uri) = 1""")
+def _(v):
+    own = v.records.where("source_type = 'programme'").select("record_id")
+    labels = v.vectors.join(own, "record_id", "left_semi").select(F.concat(F.lit("v"), F.col("record_id").cast("string")).alias("uri"), "embedding")
+    return rounded(V.best_labels(v.vectors.select(F.col("record_id").alias("candidate_id"), "embedding"), labels), 5)
+
+
 def run(name: str, spark: SparkSession, at: str) -> DataFrame:
     return QUERIES[name](spark, at)
