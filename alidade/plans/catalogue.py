@@ -448,12 +448,12 @@ def _(v):
 
 @query("minhash_signature", "SELECT record_id, " + ", ".join(f"min(('0x' || substr(md5('{s}' || g), 1, 15))::BIGINT) AS h{s}" for s in range(8)) + " FROM (SELECT DISTINCT record_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3))) AS g FROM (SELECT page_id AS record_id, url AS text FROM pages)) GROUP BY ALL")
 def _(v):
-    return D.signatures(D.shingles(v.table("pages").select(F.col("page_id").alias("record_id"), "url"), F.col("url")), 8)
+    return D.signatures(v.table("pages").select(F.col("page_id").alias("record_id"), "url"), F.col("url"), 8)
 
 
 @query("near_dups", None)
 def _(v):
-    return D.near_pairs(D.signatures(D.shingles(v.records.select("record_id", "text"), D.normalised(F.col("text")))))
+    return D.near_pairs(D.signatures(v.records.select("record_id", "text"), D.normalised(F.col("text"))))
 
 
 @query("clean_lines", "SELECT record_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT (contains(lower(x), 'released under') OR contains(lower(x), 'copyright') OR contains(lower(x), 'idiot'))), chr(10))) AS h FROM rec")

@@ -95,6 +95,23 @@ def test_bands_lose_no_pair(spark):
     assert got == want
 
 
+def test_signatures_match_brute_force(spark):
+    from hashlib import md5
+
+    from pyspark.sql import functions as F
+
+    rows = [(1, "abcabcabd"), (2, "ab"), (3, None), (4, ""), (5, "é😀xyz" * 5000), (6, "abcabcabd")]
+    df = spark.createDataFrame(rows, "record_id long, text string")
+    got = {r[0]: tuple(r[1:]) for r in D.signatures(df, F.col("text"), 4).collect()}
+    want = {}
+    for i, t in rows:
+        grams = {t[a : a + 3] for a in range(len(t) - 2)} if t else set()
+        if grams:
+            want[i] = tuple(min(int(md5(f"{s}{g}".encode()).hexdigest()[:15], 16) for g in grams) for s in range(4))
+    assert got == want
+    assert D.signatures(df.limit(0), F.col("text"), 4).count() == 0
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("a  b\r\n\r\n\r\n\r\nc http://x.y/z d",), ("",), (None,)], "t string")
     got = [r.c for r in df.select(T.drop_urls(T.collapse_space("t")).alias("c")).collect()]
