@@ -31,7 +31,7 @@ from .common import LOWER, long_id, stored, table, utf8_rows
 RADIUS = 2
 SHARD_MOST = 4096
 CHUNK = 1 << 15
-_NO_ID = (1 << 63) - 1
+NO_ID = (1 << 63) - 1
 
 
 def fingerprint(text: bytes) -> int:
@@ -190,29 +190,31 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "root")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fingerprint, component_id for each row of ``docs``."""
-    rows = stored(fingerprints(docs), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("least"))
-    edges = stored(links(distinct.select("fp")), "links")
+def with_components(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, fp and others) with component_id: the least doc_id of
+    the rows whose fp ``edges`` (a, b) tie together."""
+    distinct = rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least"))
     own = distinct.select("fp", F.col("least").alias("component"))
     if not edges.isEmpty():
         label = components(edges)
         tied = distinct.join(label, distinct.fp == label.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
         of_root = tied.groupBy("root").agg(F.min("least").alias("component"))
         own = tied.join(of_root, "root").select("fp", "component")
-    return rows.join(own, "fp").select(
-        "doc_id",
-        "text_hash",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.nullif(F.col("component"), F.lit(_NO_ID)).alias("component_id"),
-    )
+    return rows.join(own, "fp").withColumn("component_id", F.nullif(F.col("component"), F.lit(NO_ID))).drop("component")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, fingerprint, component_id for each row of ``docs``."""
+    rows = stored(fingerprints(docs), "fingerprints")
+    found = with_components(rows, stored(links(rows.select("fp").distinct()), "links"))
+    return found.select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the least doc_id; of rows
-    that share that doc_id, one."""
-    found = near_duplicates(docs)
+def one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """``docs`` with one document of each component of ``found`` (by default
+    their near duplicates): the least doc_id; of rows that share that doc_id,
+    one."""
+    found = near_duplicates(docs) if found is None else found
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("text_hash").alias("h"), F.count("*").alias("n"))
     keep = stored(keep.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("n").alias("__n")), "kept")
     tagged = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]) & (F.xxhash64(docs["text"].cast("string")) == keep["__h"]))

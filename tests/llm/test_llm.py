@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from alidade.llm import decontamination, language_model, mixing, pages, quality, secrets, simhash, tokens, toxicity, urls
+from alidade.llm import decontamination, language_model, mixing, near_copies, pages, quality, secrets, simhash, tokens, toxicity, urls
 
 AT = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, size int, key string"
@@ -176,6 +176,53 @@ def test_one_of_each_keeps_repeated_rows_once(spark):
     assert out.columns == odd(spark).columns
 
 
+def test_near_copies_by_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    words = " ".join(f"w{k}" for k in range(60)).split()
+    edits = [" ".join(words[:at] + ["other"] + words[at + 1 :]) for at in (0, 20, 40, 59)] + [" ".join(words[:20] + words[40:])]
+    both = d.union(spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(edits)], "doc_id long, text string"))
+    sets = {}
+    for k, t in texts(both).items():
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t).encode().split()
+        sets[k] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    holders, parent = {}, {k: k for k in sets}
+    for k, s in sets.items():
+        for g in s:
+            holders.setdefault(g, []).append(k)
+
+    def top(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    pairs = {(a, b) for own in holders.values() if len(own) < 200 for a in own for b in own if a < b}
+    empty = sorted(k for k, s in sets.items() if not s)
+    pairs |= set(zip(empty, empty[1:]))
+    n = 0
+    for a, b in pairs:
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            n += sets[a] != sets[b]
+            x, y = top(a), top(b)
+            parent[max(x, y)] = min(x, y)
+    assert n > 12
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(both).collect()} == {k: top(k) for k in sets}
+
+
+def test_pipeline_stage_drops_near_copies(spark):
+    import corpus_pipeline
+
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id in (0, 7818)")
+    assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, d, AT).collect()] == [0]
+
+
+def test_near_copies_of_odd_rows(spark):
+    for df in (odd(spark), spark.createDataFrame([], SCHEMA)):
+        assert near_copies.near_copies(df).count() == df.count()
+    out = simhash.one_of_each(odd(spark), near_copies.near_copies(odd(spark)))
+    assert [r.doc_id for r in out.where("text = 'same text here now'").collect()] == [7]
+    assert [r.doc_id for r in out.where("text is null or trim(text) = ''").collect()] == [0]
+
+
 def test_toxicity_on_held_out_rows(spark):
     at = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
