@@ -9,8 +9,12 @@ posting crosses the network and no frequent term meets in one task.
 A search takes the test texts in blocks of BLOCK_BYTES at most and goes over
 all shards with each block: for a window it starts from its rarest term's list,
 shifts it by the term's offset and intersects it with the next rarest, until
-the whole phrase stands (exact), or looks for the item's rarest terms near one
-another (proximity). While all test texts fit one block, postings are stored
+the whole phrase stands (exact), or looks for terms near one another
+(proximity). A proximity match is NEAR_SHARE of a window's distinct terms within
+fewer than NEAR_SPAN places of one of its rarest terms, or the item's NEAR_TERMS
+rarest terms that occur at all near one another. So many of a window's rarest
+terms are gone through that each run of NEAR_SPAN words with the share holds
+one of them, so none is missed. While all test texts fit one block, postings are stored
 for their vocabulary only, since no other term can be asked for.
 
 Words: A-Z lower-cased, runs of [0-9a-z] and non-ASCII characters. A window is
@@ -40,6 +44,7 @@ SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
 NEAR_TERMS = 3
 NEAR_SPAN = 20
+NEAR_SHARE = (4, 5)
 
 #: Word bytes stay (A-Z lower-cased), the rest become spaces; bytes from 0x80 on belong to words.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -92,6 +97,16 @@ class Shard:
         return cls(starts, sizes, terms, np.concatenate([[0], np.cumsum(np.asarray(counts, np.int64))]), np.asarray(positions, np.int64))
 
 
+def _loose(order: list[int], terms: list[int]) -> tuple[list[int], list[tuple[frozenset[int], frozenset[int], int]]]:
+    """An item's terms, and of each window its terms, the rarest of them of
+    which any run with enough terms holds one, and how many are enough."""
+    rank, out = {t: k for k, t in enumerate(order)}, []
+    for own in {frozenset(terms[a : a + WINDOW]) for a in range(max(1, len(terms) - WINDOW + 1))}:
+        need = -(-len(own) * NEAR_SHARE[0] // NEAR_SHARE[1])
+        out.append((own, frozenset(sorted(own, key=rank.get)[: len(own) - need + 1]), need))
+    return order, out
+
+
 class Queries:
     """One block of test texts: its terms, distinct windows and items."""
 
@@ -101,14 +116,18 @@ class Queries:
         self.items = sorted({i for i, _ in items})
         number = {name: k for k, name in enumerate(self.items)}
         self.near: list[tuple[int, tuple[int, ...]]] = []
+        self.loose: list[tuple[int, list[int], list[tuple[frozenset[int], frozenset[int], int]]]] = []
         for name, text in items:
             words = words_of(text)
             terms = [self.ids.setdefault(w, len(self.ids)) for w in words]
             for a in range(max(1, len(terms) - WINDOW + 1) if terms else 0):
                 seen.setdefault(tuple(terms[a : a + WINDOW]), set()).add(number[name])
             if rarity is not None and terms:
-                rare = sorted(set(words), key=lambda w: (rarity.get(w, 0), w))[:NEAR_TERMS]
-                self.near.append((number[name], tuple(self.ids[w] for w in rare)))
+                order = sorted(set(words), key=lambda w: (rarity.get(w, 0), w))
+                rare = [w for w in order if rarity.get(w, 0)][:NEAR_TERMS]
+                if len(rare) == min(NEAR_TERMS, len(order)):
+                    self.near.append((number[name], tuple(self.ids[w] for w in rare)))
+                self.loose.append((number[name], *_loose([self.ids[w] for w in order], terms)))
         self.windows = list(seen)
         self.owners = [sorted(seen[w]) for w in self.windows]
         self.table = np.full((len(self.windows), WINDOW), -1, np.int32)
@@ -161,6 +180,34 @@ class Queries:
                     ok &= sum((np.abs(x - first) < NEAR_SPAN) & (x >= low) & (x < high) for x in (left, right)).astype(bool)
                 for d in np.unique(doc[ok]).tolist():
                     near.setdefault(d, set()).add(item)
+        for item, terms, windows in self.loose:
+            own, least = [lists[t] for t in terms if t in lists], min(need for _, _, need in windows)
+            if len(own) < least:
+                continue
+            p = np.sort(np.concatenate(own))
+            tight = np.flatnonzero(p[least - 1 :] - p[: len(p) - least + 1] < 2 * NEAR_SPAN - 1)
+            if not len(tight):
+                continue
+            mark = np.zeros(len(p) + 1, np.int64)
+            np.add.at(mark, tight, 1)
+            np.add.at(mark, tight + least, -1)
+            c = p[np.cumsum(mark[:-1]) > 0]
+            of_term: dict[int, list] = {}
+            for all_, rare, need in windows:
+                for t in rare:
+                    of_term.setdefault(t, []).append((all_, need))
+            centre = np.zeros(len(self.ids), bool)
+            centre[list(of_term)] = True
+            c = c[centre[at[c]]]
+            doc = np.searchsorted(shard.starts, c, "right") - 1
+            low = np.searchsorted(p, np.maximum(c - NEAR_SPAN + 1, shard.starts[doc]))
+            high = np.searchsorted(p, np.minimum(c + NEAR_SPAN, shard.starts[doc] + shard.sizes[doc]))
+            enough = high - low >= least
+            for x, d, a, b in zip(at[c[enough]].tolist(), doc[enough].tolist(), low[enough].tolist(), high[enough].tolist()):
+                if item not in near.get(d, ()):
+                    held = set(at[p[a:b]].tolist())
+                    if len(held) >= least and any(len(all_ & held) >= need for all_, need in of_term[x]):
+                        near.setdefault(d, set()).add(item)
         return np.cumsum(change[:places]) > 0, found, near
 
 

@@ -176,6 +176,21 @@ def test_one_of_each_keeps_repeated_rows_once(spark):
     assert out.columns == odd(spark).columns
 
 
+def test_proximity_without_an_items_rarest_words(spark):
+    words = [f"w{k}" for k in range(30)]
+    items = spark.createDataFrame([(1, " ".join(["absent", *words, "nowhere", "never"])), (2, "q1 q2 q3 q4 q5")], "item_id long, text string")
+    held = [
+        " ".join(["x"] * 30 + words[6:12] + ["y"] + words[14:16] + ["x"] * 30),  # a reworded part
+        " ".join(w for k in range(30) for w in [words[k], *["x"] * 9]),  # too far apart
+        "q5 x q1 x q3 q2", "q5 x q1 q3", "x",
+        " ".join(["x"] * 5 + words[:4]), " ".join(words[4:8] + ["x"] * 5),  # beyond a document's end
+        " ".join(words),
+    ]
+    rows = spark.createDataFrame(list(enumerate(held)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.near for r in decontamination.contamination(rows, items).collect()}
+    assert got == {0: ["1"], 1: [], 2: ["2"], 3: [], 4: [], 5: [], 6: [], 7: ["1"]}
+
+
 def test_near_copies_by_brute_force(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     words = " ".join(f"w{k}" for k in range(60)).split()
