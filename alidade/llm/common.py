@@ -15,9 +15,12 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set."""
+    """The folder all executors share: spark.checkpoint.dir. A temporary one
+    stands in only where driver and executors are one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = getattr(spark, "_alidade_dir", None)
         if at is None:
             at = "file://" + tempfile.mkdtemp(prefix="alidade-")

@@ -9,8 +9,9 @@ their shard through one shuffle and are not sent to every task: probing all
 trees with all fingerprints costs their product, and the shards lose no pair.
 A shard with more fingerprints than SHARD_MOST is split again by the thirds of
 its other 32 bits, of which one agrees in every pair within two bits, so the
-split loses nothing either. A shard answers with spanning links (each
-fingerprint to the least of its local component), never with all pairs.
+split loses nothing either. A shard answers with spanning links, never with all pairs:
+each local component becomes a tree of at most FAN children a node, so that no
+fingerprint is a hub of the links, and components are few steps deep.
 
 Rows: null and empty text get fingerprint zero, linked like any other.
 Repeated rows share their fingerprint and so their component. A null doc_id
@@ -30,6 +31,8 @@ from .common import LOWER, long_id, stored, table, utf8_rows
 
 RADIUS = 2
 SHARD_MOST = 4096
+FAN = 8
+SALTS = 16
 CHUNK = 1 << 15
 NO_ID = (1 << 63) - 1
 
@@ -99,7 +102,8 @@ class BKTree:
 
 
 def spanning_links(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(value, least of its component) for the values of one shard that link."""
+    """Links that tie each component of one shard's values: member k of a
+    component, in order, to its member (k - 1) // FAN."""
     tree, parent = BKTree(), {}
 
     def top(x: int) -> int:
@@ -114,7 +118,10 @@ def spanning_links(values: list[int], radius: int = RADIUS) -> list[tuple[int, i
             a, b = top(v), top(other)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    return [(v, t) for v in values if (t := top(v)) != v]
+    members: dict[int, list[int]] = {}
+    for v in values:
+        members.setdefault(top(v), []).append(v)
+    return [(own[k], own[(k - 1) // FAN]) for own in members.values() for k in range(1, len(own))]
 
 
 def _sharded(distinct: DataFrame) -> DataFrame:
@@ -175,53 +182,66 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root: the connected component of each node of ``edges`` (a, b).
 
     Each round takes the least label over a node's neighbours and then follows
-    labels twice (pointer jumping); rounds end when no label changes. Each
-    round is written to the shared folder.
+    labels (pointer jumping); rounds end when no label changes. Each round is
+    written to the shared folder. A component's many nodes look up its label
+    under SALTS keys.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
     while True:
         seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("m"))
         step = labels.join(seen, labels.node == seen.a).select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
-        up = step.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = stored(step.join(up, "root", "left").select("node", "was", F.least("root", F.coalesce("up", "root")).alias("root")), "labels")
+        up = step.join(step.select(F.col("root").alias("used")).distinct(), step["node"] == F.col("used"), "left_semi").select(F.col("node").alias("key"), F.col("root").alias("up"))
+        new = stored(_looked_up(step, "root", "node", up).select("node", "was", F.least("root", F.coalesce("up", "root")).alias("root")), "labels")
         if new.where("was <> root").isEmpty():
             return new.select("node", "root")
         labels = new.select("node", "root")
 
 
+def _looked_up(rows: DataFrame, column: str, spread: str, values: DataFrame) -> DataFrame:
+    """``rows`` left-joined with ``values`` (key, and others) on ``column``, of
+    which one value may stand in many rows: keys are salted by ``spread``."""
+    salted = values.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    own = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return own.join(salted, (own[column] == salted["key"]) & (own["__salt"] == salted["salt"]), "left").drop("key", "salt", "__salt")
+
+
 def with_components(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, fp and others) with component_id: the least doc_id of
-    the rows whose fp ``edges`` (a, b) tie together."""
+    """``rows`` (doc_id, fp and others) with component_id, the least doc_id of
+    the rows whose fp ``edges`` (a, b) tie together, and group_key, which tells
+    components apart even where their least doc_ids are alike or null."""
     distinct = rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least"))
-    own = distinct.select("fp", F.col("least").alias("component"))
+    own = distinct.select(F.col("fp").alias("key"), F.col("least").alias("component"), F.col("fp").alias("group_key"))
     if not edges.isEmpty():
         label = components(edges)
         tied = distinct.join(label, distinct.fp == label.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-        of_root = tied.groupBy("root").agg(F.min("least").alias("component"))
-        own = tied.join(of_root, "root").select("fp", "component")
-    return rows.join(own, "fp").withColumn("component_id", F.nullif(F.col("component"), F.lit(NO_ID))).drop("component")
+        of_root = tied.groupBy("root").agg(F.min("least").alias("component")).select(F.col("root").alias("key"), "component")
+        own = _looked_up(tied, "root", "fp", of_root).select(F.col("fp").alias("key"), "component", F.col("root").alias("group_key"))
+    found = rows.join(own, rows["fp"] == own["key"]).drop("key")
+    return found.withColumn("component_id", F.nullif(F.col("component"), F.lit(NO_ID))).drop("component")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fingerprint, component_id for each row of ``docs``."""
+    """doc_id, text_hash, fingerprint, component_id, group_key for each row of
+    ``docs``."""
     rows = stored(fingerprints(docs), "fingerprints")
     found = with_components(rows, stored(links(rows.select("fp").distinct()), "links"))
-    return found.select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_key")
 
 
 def one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """``docs`` with one document of each component of ``found`` (by default
-    their near duplicates): the least doc_id; of rows that share that doc_id,
-    one."""
+    """``docs`` with one row of each component of ``found`` (by default their
+    near duplicates): the one of the least (doc_id, hash of the text), a null
+    doc_id last; of rows equal in both, any one.
+
+    Only rows of one component displace one another: documents that share a
+    doc_id, or have none, but not a component all stay."""
     found = near_duplicates(docs) if found is None else found
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("text_hash").alias("h"), F.count("*").alias("n"))
-    keep = stored(keep.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("n").alias("__n")), "kept")
-    tagged = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]) & (F.xxhash64(docs["text"].cast("string")) == keep["__h"]))
-    own = [docs[c] for c in docs.columns]
-    if keep.where("__n > 1").isEmpty():
-        return tagged.select(*own)
-    return tagged.where("__n = 1").select(*own).unionByName(tagged.where("__n > 1").dropDuplicates(["__id"]).select(*own))
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.coalesce("text_hash", F.lit(0)).alias("h"))).alias("k")
+    of = found.groupBy("group_key").agg(least).select(F.col("k.id").alias("__id"), F.col("k.h").alias("__h")).distinct()
+    own = docs.select("*", F.coalesce(long_id(docs), F.lit(NO_ID)).alias("__own_id"), F.xxhash64(docs["text"].cast("string")).alias("__own_h"))
+    kept = own.join(of, (F.col("__own_id") == F.col("__id")) & (F.col("__own_h") == F.col("__h")), "left_semi")
+    return kept.dropDuplicates(["__own_id", "__own_h"]).select(*docs.columns)
 
 
 def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:

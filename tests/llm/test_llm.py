@@ -135,9 +135,19 @@ def test_targets_stop_and_share_again(spark):
     assert got == pytest.approx({"a": 3.0, "b": 96.0, "c": 3.0})
 
 
+def plain_fingerprint(text):
+    """The contract's fingerprint, bit by bit."""
+    from xxhash import xxh64_intdigest
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)] if w else []
+    h = [xxh64_intdigest(g.encode(), seed=42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 def test_near_duplicates_by_brute_force(spark, docs):
     both = docs.select("doc_id", "text").union(odd(spark).select(F.col("doc_id") + 10**6, "text").where("doc_id is not null").distinct())
-    own = {k: simhash.fingerprint(t.encode()) for k, t in texts(both).items()}
+    own = {k: plain_fingerprint(t) for k, t in texts(both).items()}
     parent = {k: k for k in own}
 
     def top(k):
@@ -170,12 +180,34 @@ def test_tree_finds_what_a_scan_finds():
             held.append(v)
 
 
+def test_links_of_a_large_group_have_no_hub():
+    values = sorted({1 << a | 1 << b for a in range(40) for b in range(a, 40)} | {0})
+    found = simhash.spanning_links(values, 2)
+    often = Counter(x for pair in found for x in pair)
+    assert len(found) == len(values) - 1 and max(often.values()) <= simhash.FAN + 1
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(900, 901)], "a long, b long")
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert got == {k: 0 for k in range(201)} | {900: 900, 901: 900}
+
+
 def test_one_of_each_keeps_repeated_rows_once(spark):
     out = simhash.one_of_each(odd(spark))
     assert [r.doc_id for r in out.where("text = 'same text here now'").collect()] == [7]
     assert out.columns == odd(spark).columns
 
 
+def test_one_of_each_loses_no_text(spark):
+    a, b, c, d = ("one text of its own", "another text that stands alone", "a third one without a copy", "number four, which nobody repeats")
+    rows = spark.createDataFrame([(None, a), (None, b), (7, c), (7, d), (7, d), (9, c), (None, a)], "doc_id long, text string")
+    for found in (None, near_copies.near_copies(rows)):
+        kept = sorted(((r.doc_id or -1), r.text) for r in simhash.one_of_each(rows, found).collect())
+        assert kept == sorted([(-1, a), (-1, b), (7, c), (7, d)])
+    assert simhash.one_of_each(rows.limit(0)).count() == 0
+
+
 def test_proximity_without_an_items_rarest_words(spark):
     words = [f"w{k}" for k in range(30)]
     items = spark.createDataFrame([(1, " ".join(["absent", *words, "nowhere", "never"])), (2, "q1 q2 q3 q4 q5")], "item_id long, text string")
