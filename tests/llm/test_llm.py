@@ -305,9 +305,102 @@ def test_page_text():
     html = '<html><head><title>t</title><script>var a="</p>";</script></head><body><nav>m</nav><div class="ad">x</div><article><h1>T &amp; U</h1><p>a <b>b</b><br>c<p>d<aside>no</aside></article><footer>f'
     assert pages.content(html) == "T & U\na b c\nd"
     assert pages.content("") == "" and pages.content("plain <i>text</i>") == "plain text"
-    same = [f"<body><article><p>share us</p><p>own {k}</p></article></body>" for k in range(6)]
-    held = frozenset(pages.induce(same))
-    assert pages.content(same[0], held) == "own 0"
+
+
+def test_page_text_of_odd_markup():
+    assert pages.content('<body class="has-sidebar"><p>hello there</p></body>') == "hello there"
+    assert pages.content('<div class="entry-header"><h1>T</h1></div><div class="entry-content"><p class="side note">x <y is small</p><p>and more</p></div>') == "T\nx <y is small\nand more"
+    assert pages.content('<article><p>text <a href="x') == "text"
+    assert pages.content("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
+    assert pages.content("<table><tr><td>1</td><td>2</td></tr></table><p>3") == "1\n2\n3"
+    assert pages.content('<body><nav>a</nav><article></article><div class="ad">buy this</div></body>') == ""
+
+
+def test_page_scan_is_linear():
+    import time
+
+    def took(text):
+        began = time.process_time()
+        pages.content(text)
+        return time.process_time() - began
+
+    for piece in ("<a ", "<!x", '<a b="', "<a b='<a c=\"", "<i>", "<p>", "</div>", "<div>", "<!--", "<script>"):
+        assert took(piece * 40_000) < 2, piece
+
+
+def _site(k, layout="plain"):
+    words = lambda n, seed: " ".join(f"w{(seed * 31 + i * i) % 997}" for i in range(n))
+    head = "<div><a href=/>Home</a> <a href=/x>News of the day</a></div>"
+    body = f"<h1>{words(4, k)}</h1><p>{words(60, k)}</p><h2>Background</h2><p>{words(40, k + 500)}</p><p>Sign up for our letter today</p>"
+    tail = "<div>All rights reserved by us</div>"
+    if layout == "plain":
+        return f"<body>{head}<div>{body}</div><div>{words(6, k + 900)}</div>{tail}</body>"
+    return f"<body><table><tr><td>{head}{tail}</td><td><div class=x{k}>{body}</div></td></tr></table></body>"
+
+
+def _wanted(k):
+    return [x for x in re.sub("<[^>]*>", "\n", _site(k)[_site(k).index("<h1>") : _site(k).index("Sign up")]).split("\n") if x]
+
+
+def test_wrappers_decide_where_names_say_nothing():
+    wrapper = pages.induce([_site(k) for k in range(8)] + [_site(99, "table")])
+    assert len(wrapper) == 2
+    for k in (3, 50, 77):
+        assert pages.content(_site(k), wrapper, {}).split("\n") == _wanted(k)
+        assert pages.content(_site(k), pages._unpacked(pages._packed(wrapper)), {}).split("\n") == _wanted(k)
+    # one page of another layout spoils nothing; alone, it can't know its constants
+    assert pages.content(_site(4, "table"), wrapper, {}).split("\n") == [*_wanted(4), "Sign up for our letter today"]
+
+
+def test_copies_of_an_article_do_not_become_template():
+    same = [f"<body><nav>{k}</nav><article><p>{'share us with all the others ' * 9}</p></article><footer>{k}</footer></body>" for k in range(8)]
+    assert pages.content(same[0], pages.induce(same), {}) == " ".join(["share us with all the others"] * 9)
+    varied = [f"<body><article><p>share us</p><p>own {k}</p></article></body>" for k in range(6)]
+    assert pages.content(varied[0], pages.induce(varied), {}) == "own 0"
+
+
+def test_tree_matching_against_its_definition():
+    import random
+
+    rng = random.Random(4)
+
+    def grown(depth):
+        node = pages.Shape(rng.choice("ab"))
+        if depth:
+            node.children = [grown(depth - 1) for _ in range(rng.randint(0, 3))]
+        return node
+
+    def most(a, b):
+        if a.name != b.name:
+            return 0
+        m = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+        for i, x in enumerate(a.children, 1):
+            for j, y in enumerate(b.children, 1):
+                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + most(x, y))
+        return 1 + m[-1][-1]
+
+    for _ in range(200):
+        a, b = grown(4), grown(4)
+        pairs = pages.matched(a, b)
+        assert len(pairs) == most(a, b) and all(x.name == y.name for x, y in pairs)
+        assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+
+
+def test_wrappers_decide_most_pages(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    host = lambda u: u.split("/")[2]
+    of = {r.host: pages._unpacked(bytes(r.wrapper)) for r in pages.templates(table).collect()}
+    rows = table.collect()
+    fits = sum(pages.roles(of[host(r.url)], pages.shape(pages.parse(r.html)))[0] for r in rows)
+    assert fits >= 0.95 * len(rows)
+    from html import unescape
+
+    got = {r.page_id: (r.text, r.n_chars) for r in pages.extract(table).collect()}
+    for r in rows:
+        inner = r.html[r.html.index("<article>") : r.html.rindex("</article>")]
+        lines = re.sub("<[^>]*>", "", re.sub("</?(?:p|h1)>", "\n", inner.replace("<br>", " "))).split("\n")
+        want = "\n".join(x for x in (" ".join(unescape(t).split()) for t in lines) if x)
+        assert got[r.page_id] == (want, len(want))
 
 
 def test_language_model_prefers_its_corpus(spark, docs):
