@@ -295,10 +295,51 @@ def test_listed_url_rules(spark, url, want):
 
 
 def test_mined_rules_match_their_tokens_only(spark):
-    seen = [(f"http://a{i}.spam.org/x/{i}", True) for i in range(50)] + [(f"http://a{i}.fine.org/x/{i}", False) for i in range(50)]
-    own = spark.createDataFrame([(1, "http://b.spam.org/y"), (2, "http://b.fine.org/y")], "page_id long, url string")
-    got = {r.page_id: r.verdict for r in urls.filter_urls(own, labelled=spark.createDataFrame(seen, "url string, block boolean")).collect()}
-    assert got == {1: "block", 2: "allow"}
+    seen = [(f"http://a{i}.spam.org/x/{i}", True) for i in range(50)] + [(f"http://a{i}.fine.org/x/{i}", False) for i in range(50)] + [(None, True), ("http://a.spam.org/", None)]
+    own = spark.createDataFrame([(1, "http://b.spam.org/y"), (2, "http://b.fine.org/y"), (3, "http://b.spam.org/es/1"), (4, "http://b.spam.example.net/de/1"), (5, "")], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.mined) for r in urls.filter_urls(own, labelled=spark.createDataFrame(seen, "url string, block boolean")).collect()}
+    # a mined rule decides where no listed one does, and only there
+    assert got == {1: ("block", True), 2: ("allow", False), 3: ("block", True), 4: ("allow", True), 5: ("allow", False)}
+
+
+def test_mined_rules_of_long_urls(spark):
+    deep = "/".join(f"d{k}" for k in range(60))
+    seen = [(f"http://a.org/{deep}/{'bad' if i % 2 else 'good'}/{i}?k{i % 3}=1", bool(i % 2)) for i in range(80)]
+    own = [(1, f"http://b.net/{deep}/bad/7"), (2, f"http://b.net/{deep}/good/7"), (3, "http://b.net/bad")]
+    got = {r.page_id: r.verdict for r in urls.filter_urls(spark.createDataFrame(own, "page_id long, url string"), labelled=spark.createDataFrame(seen, "url string, block boolean")).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow"}
+
+
+def test_rule_matching_by_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    rules = [(tuple(sorted(rng.sample("abcdefghij", rng.randint(1, 3)))), 1.0) for _ in range(25)]
+    rows = [(k, rng.sample("abcdefghijklm", rng.randint(0, 6))) for k in range(300)]
+    df = spark.createDataFrame(rows, "k int, t array<string>")
+    got = {r.k: r.hit for r in df.select("k", urls.matches(F.col("t"), rules).alias("hit")).collect()}
+    assert got == {k: any(set(r) <= set(t) for r, _ in rules) for k, t in rows}
+
+
+def test_mined_rules_by_brute_force(spark):
+    from itertools import combinations
+
+    at = "/root/testdata/sf0.01"
+    p, labels = spark.read.parquet(f"{at}/pages.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    known = urls.listed_labels(p).unionAll(urls.document_labels(p, labels))
+    rows = [(frozenset(r.t), r.block) for r in known.select(urls.tokens(F.col("url")).alias("t"), "block").collect()]
+    assert max(len(t) for t, _ in rows) <= urls.MINED_WIDTH
+    least, want = max(urls.SUPPORT, urls.LEAST_ROWS / len(rows)) * len(rows), {}
+    for size in (1, 2, 3):
+        often, bad = Counter(), Counter()
+        for t, block in rows:
+            for c in combinations(sorted(t), size):
+                often[c] += 1
+                bad[c] += block
+        for c, n in bad.items():
+            if n >= least and n / often[c] >= urls.CONFIDENCE and not any(x in want for k in range(1, size) for x in combinations(c, k)):
+                want[c] = n / often[c]
+    assert want and dict(urls.mine(known)) == pytest.approx(want)
 
 
 def test_page_text():
