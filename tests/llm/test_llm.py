@@ -113,6 +113,53 @@ def test_quality_statistics_by_brute_force(spark, docs):
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r.base_failed and r.kept)
 
 
+def test_quality_model_by_plain_em():
+    import math
+    import random
+
+    rng, rows = random.Random(2), Counter()
+    right = [(0.9, 0.2), (0.95, 0.5), (0.8, 0.3), (0.99, 0.7)]
+    for _ in range(3000):
+        good = rng.random() < 0.8
+        rows[tuple(0 if rng.random() < 0.2 else 1 if rng.random() < (a if good else b) else -1 for a, b in right)] += 1
+    each = [p for p in sorted(rows) for _ in range(rows[p])]
+    post = [(p.count(1) + 1) / (4 - p.count(0) + 2) for p in each]
+    for _ in range(120):  # a row at a time
+        share = (sum(post) + 3) / (len(post) + 4)
+        keep = []
+        for r in range(4):
+            own = [(p[r], g) for p, g in zip(each, post) if p[r]]
+            keep.append([(sum(g for v, g in own if v == 1) + 3.2) / (sum(g for _, g in own) + 4), (sum(1 - g for v, g in own if v == 1) + 1.6) / (sum(1 - g for _, g in own) + 4)])
+        odds = [math.prod([share / (1 - share), *((a if v == 1 else 1 - a) / (b if v == 1 else 1 - b) for v, (a, b) in zip(p, keep) if v)]) for p in each]
+        post = [o / (1 + o) for o in odds]
+    got = quality.fit(sorted(rows.items()), 120)
+    assert got[0] == pytest.approx(share, abs=1e-6) and got[1] == [pytest.approx(tuple(k), abs=1e-6) for k in keep]
+    assert abs(share - 0.8) < 0.05
+
+
+def test_quality_verdicts_come_from_em(spark):
+    at = "/root/testdata/sf0.01"
+    rows = quality.judge(spark.read.parquet(f"{at}/documents.parquet")).join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id", "left").collect()
+    every, rows = rows, [r for r in rows if not r.base_failed]
+    names = [f"vote_{k}" for k in quality.votes()]
+    patterns = sorted(Counter(tuple(r[n] for n in names) for r in rows).items())
+    start = quality.fit(patterns, 0)
+    before = {p: quality._posterior(p, *start) >= 0.5 for p, _ in patterns}
+    assert sum(before[tuple(r[n] for n in names)] != r.kept for r in rows) > 20  # rounds change verdicts
+    good, bad = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    assert sum(good) > 0.99 * len(good) and sum(bad) < 0.1 * len(bad)
+    single = [r.posterior >= quality.THRESHOLD for r in every if sum(r[n] == -1 for n in names) == 1]
+    assert any(single)  # one reject vote can be outvoted
+
+
+def test_repeated_words_of_very_long_texts(spark, monkeypatch):
+    text = " ".join(f"a{k % 37} b{k % 41} c" for k in range(900)) + " x y z"
+    df = spark.createDataFrame([(1, text), (2, "p q r s t u v w x y z " * 2), (3, " ".join(f"w{k}" for k in range(700)))], "doc_id long, text string")
+    want = {r.doc_id: r.n_repeat_words for r in quality.statistics(df).collect()}
+    monkeypatch.setattr(quality, "PLACE_BITS", 9)  # beyond 512 windows places no longer fit
+    assert {r.doc_id: r.n_repeat_words for r in quality.statistics(df).collect()} == want and want[3] == 0 and want[1] > 0
+
+
 def test_mix_meets_its_targets(spark, docs):
     rows = mixing.pareto_mix(docs, mixing.one_two_three).collect()
     again = {(r.doc_id, r.taken) for r in mixing.pareto_mix(docs.repartition(3), mixing.one_two_three).collect()}
