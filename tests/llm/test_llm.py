@@ -153,7 +153,7 @@ def test_quality_verdicts_come_from_em(spark):
 
 
 def test_repeated_words_of_very_long_texts(spark, monkeypatch):
-    text = " ".join(f"a{k % 37} b{k % 41} c" for k in range(900)) + " x y z"
+    text = " ".join(f"a{k % 7} b{k % 11} c" for k in range(900)) + " x y z"
     df = spark.createDataFrame([(1, text), (2, "p q r s t u v w x y z " * 2), (3, " ".join(f"w{k}" for k in range(700)))], "doc_id long, text string")
     want = {r.doc_id: r.n_repeat_words for r in quality.statistics(df).collect()}
     monkeypatch.setattr(quality, "PLACE_BITS", 9)  # beyond 512 windows places no longer fit
