@@ -64,28 +64,39 @@ def long_id(df: DataFrame, name: str = "doc_id"):
     return F.col(name) if isinstance(df.schema[name].dataType, LongType) else F.col(name).cast("long")
 
 
-def prefix_sums(lengths):
-    """Native: for an array column of ints, the array of exclusive running sums.
+def prefix_scan(values, kind: str, zero, op):
+    """Native: for an array column, the array that holds at each place ``op``
+    over all values before it, from ``zero``.
 
     Two levels of blocks of 256, so an array of n costs about 256 n copies and
     not n squared.
     """
     block = 256
     blocks = F.when(
-        F.size(lengths) > 0,
+        F.size(values) > 0,
         F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / block).cast("int")),
-            lambda b: F.slice(lengths, b * block + 1, block),
+            F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")),
+            lambda b: F.slice(values, b * block + 1, block),
         ),
-    ).otherwise(F.array().cast("array<array<bigint>>"))
+    ).otherwise(F.array().cast(f"array<array<{kind}>>"))
 
-    def running(values, start):
+    def running(part, start):
         return F.aggregate(
-            values,
-            F.struct(F.array().cast("array<bigint>").alias("out"), start.cast("bigint").alias("at")),
-            lambda acc, x: F.struct(F.concat(acc["out"], F.array(acc["at"])).alias("out"), (acc["at"] + x).alias("at")),
+            part,
+            F.struct(F.array().cast(f"array<{kind}>").alias("out"), start.cast(kind).alias("at")),
+            lambda acc, x: F.struct(F.concat(acc["out"], F.array(acc["at"])).alias("out"), op(acc["at"], x).alias("at")),
         )["out"]
 
-    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda s, x: s + x))
-    starts = running(totals, F.lit(0))
+    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(zero).cast(kind), op))
+    starts = running(totals, F.lit(zero))
     return F.flatten(F.zip_with(blocks, starts, running))
+
+
+def prefix_sums(lengths):
+    """Exclusive running sums of an array of longs."""
+    return prefix_scan(lengths, "bigint", 0, lambda s, x: s + x)
+
+
+def prefix_max(values):
+    """The largest of the values before each place of an array of longs from 0 up."""
+    return prefix_scan(values, "bigint", 0, lambda s, x: F.greatest(s, x))

@@ -8,7 +8,8 @@ regular expression's matches and the pieces between them, whose lengths are
 summed up; the ratio comes from an array indexed by character pair.
 
 Rows: null text is empty text, which has no spans. Positions are code points,
-ends exclusive. Repeated rows are answered each; other columns are ignored; an
+ends exclusive. A candidate within a base span is that secret already and is
+left out; one that crosses a base span, or holds it, is a span of its own. Repeated rows are answered each; other columns are ignored; an
 empty table gives an empty table.
 """
 
@@ -20,7 +21,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import long_id, prefix_sums, table
+from .common import long_id, prefix_max, prefix_sums, table
 
 # Fixed values of the base patterns.
 ASSIGN = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -29,41 +30,50 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 #: Runs that the Markov models judge.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-MARGIN = 0.35
+CANDIDATE = r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_=.-]{14,}[A-Za-z0-9+/_=-]"
+MARGIN = 0.6
 SAMPLES = 4000
 
-_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 
-# Fixed word stock of the ordinary identifiers.
+# Fixed word stock of the ordinary identifiers: code, English, German, French, Spanish.
 _STOCK = (
-    "the and with that from this have will your page name value count index table column update create delete request response "
-    "server client handler manager service factory builder config option default number string object array element session "
-    "message error status result buffer stream reader writer parser token node tree graph vector matrix filter search query "
-    "order price product customer account address country region language version release license copyright permission "
-    "nation tion ment ing ation able ness ence ance ity ous ive ful less ship hood ward wise ling "
-    "der die das und nicht eine keit heit schaft lich ung ver ein auf aus nach über zwischen gegen "
-    "le la les des une que pour dans avec sur par est eau eux elle ment tion oir ier tre "
-    "el los las una que por para con como mente ción ado ida oso eza aje ero"
+    "page name value count index table column update create delete request response server client handler manager service factory "
+    "builder config option default number string object array element session message error status result buffer stream reader "
+    "writer parser node tree graph vector matrix filter search query order price product customer account address country region "
+    "language version release license copyright permission weather garden kitchen yellow mountain history science "
+    "through between together another question children government university development important different "
+    "zwischen gegen arbeit sprache freund nachbar kirche fenster wasser strasse geschichte wissenschaft gesellschaft "
+    "verantwortung sicherheit freiheit menschen zeitung frage antwort beispiel "
+    "maison travail monde histoire voiture fleur jardin semaine lumiere chateau bonheur question reponse exemple "
+    "connaissance gouvernement toujours maintenant ensemble plusieurs "
+    "trabajo mundo historia ciudad puerta ventana semana pregunta respuesta ejemplo gobierno conocimiento siempre "
+    "ahora persona importante diferente mientras libertad seguridad"
 ).split()
 
 
 def labelled_samples(n: int = SAMPLES, seed: int = 5) -> list[tuple[str, int]]:
     """The default labelled samples: n random strings (1), n identifiers (0)."""
     rng, out = random.Random(seed), []
-    kinds = [_ALPHABET[:62], _ALPHABET[:64], _ALPHABET[26:62], "0123456789abcdef", _ALPHABET[:26] + _ALPHABET[52:62]]
-    stock = ["".join(c for c in w if c in _ALPHABET) for w in _STOCK]
+    kinds = [_ALPHABET[:62], _ALPHABET[:64], _ALPHABET[:62] + "_-", _ALPHABET[26:62], "0123456789abcdef", _ALPHABET[:26] + _ALPHABET[52:62]]
     for k in range(n):
-        out.append(("".join(rng.choices(kinds[k % len(kinds)], k=rng.randint(20, 48))), 1))
-        words = rng.choices(stock, k=rng.randint(3, 7))
-        style = k % 6
-        if style == 1:
-            words = [w.capitalize() for w in words]
-        elif style == 2:
+        out.append(("".join(rng.choices(kinds[k % len(kinds)], k=rng.randint(16, 48))), 1))
+        words = rng.choices(_STOCK, k=rng.randint(2, 6))
+        if k % 3 == 0:  # abbreviations
+            words = [w[: rng.randint(2, 5)] if rng.random() < 0.5 else w for w in words]
+        case = rng.choice(["lower", "lower", "upper", "capital", "camel"])
+        if case == "upper":
             words = [w.upper() for w in words]
-        joint = {3: "_", 4: "-", 5: "/"}.get(style, "")
-        tail = str(rng.randint(0, 2100)) if k % 7 == 0 else ""
-        out.append((joint.join(words) + tail, 0))
+        elif case != "lower":
+            words = [w.capitalize() if i or case == "capital" else w for i, w in enumerate(words)]
+        name = rng.choice(["", "", "_", "_", "-", "/", "."]).join(words)
+        if k % 9 == 0:
+            name = rng.choice(["_", "__", "-", "/", "."]) + name
+        if k % 11 == 0:
+            name += rng.choice(["_", "__", "/", "-"])
+        if k % 7 == 0:
+            name += str(rng.randint(0, 2100))
+        out.append((name, 0))
     return out
 
 
@@ -83,7 +93,7 @@ def train(samples: DataFrame) -> list[float]:
         .where("a >= 0 and b >= 0")
         .collect()
     )
-    table = {0: [[0.3] * n for _ in range(n)], 1: [[0.3] * n for _ in range(n)]}
+    table = {0: [[1.0] * n for _ in range(n)], 1: [[0.3] * n for _ in range(n)]}
     for r in counts:
         table[int(r["label"] > 0)][r["a"]][r["b"]] += r["count"]
     return [
@@ -150,11 +160,12 @@ def find_secrets(docs: DataFrame, ratios: list[float], keep: tuple[str, ...] = (
     )
     base = F.concat("__assign", "__access", "__hex")
     rows = rows.select(*keep, "__text", "__markov", base.alias("__base"))
-    # a candidate that a base span covers or crosses is that secret already
-    fresh = F.when(
-        F.size("__base") == 0, F.col("__markov")
-    ).otherwise(F.filter("__markov", lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
-    return rows.select(*keep, "__text", F.array_sort("__base").alias("__base"), F.array_sort(F.concat("__base", fresh)).alias("__spans"))
+    # in order of start, a candidate goes if a base span that began before it, or with it, ends no earlier
+    rows = rows.select(*keep, "__text", "__base", F.array_sort(F.concat("__base", "__markov")).alias("__all"))
+    reach = prefix_max(F.transform("__all", lambda s: F.when(s["kind"] < 3, s["end"]).otherwise(F.lit(0)).cast("bigint")))
+    own = F.filter(F.zip_with("__all", reach, lambda s, r: F.when((s["kind"] < 3) | (s["end"] > r), s)), lambda s: s.isNotNull())
+    spans = F.when(F.size("__all") == F.size("__base"), F.col("__all")).otherwise(own)
+    return rows.select(*keep, "__text", F.array_sort("__base").alias("__base"), spans.alias("__spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -167,23 +178,16 @@ def redact(docs: DataFrame, ratios: list[float], mark: str = "[SECRET]") -> Data
     follows the new text. Text without secrets, null text and other columns
     stay as they are."""
     names = docs.columns
-    found = find_secrets(docs.withColumnsRenamed({}), ratios, tuple(names))
-    # a span that begins inside an earlier one widens it
-    merged = F.aggregate(
-        "__spans",
-        F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] > s["start"]),
-            F.concat(
-                F.slice(acc, F.lit(1), F.size(acc) - 1),
-                F.array(F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], s["end"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("__cuts", lambda c: c["end"]))
+    found = find_secrets(docs, ratios, tuple(names))
+    # spans that overlap are one cut: a span begins a new one where all before it have ended
+    end = lambda s: s["end"].cast("bigint")
+    rows = found.withColumn("__before", prefix_max(F.transform("__spans", end)))
+    first = F.filter(F.zip_with("__spans", "__before", lambda s, b: F.when((s["start"] >= b) | (b == 0), F.struct(s["start"].alias("start"), b.alias("before")))), lambda c: c.isNotNull())
+    rows = rows.withColumn("__cuts", first)
+    last = F.coalesce(F.array_max(F.transform("__spans", end)), F.lit(0).cast("bigint"))
+    ends = F.concat(F.transform("__cuts", lambda c: c["before"]), F.array(last))
     starts = F.concat(F.transform("__cuts", lambda c: c["start"]), F.array(F.length("__text").cast("bigint")))
     gaps = F.zip_with(ends, starts, lambda a, b: F.substring(F.col("__text"), (a + 1).cast("int"), (b - a).cast("int")))
-    rows = found.withColumn("__cuts", merged)
     rows = rows.withColumn("__new", F.when(F.size("__cuts") > 0, F.array_join(gaps, mark)).otherwise(F.col("text")))
     new = {"text": F.col("__new")}
     if "n_chars" in names:

@@ -43,12 +43,48 @@ def test_secrets_against_regular_expressions(spark, docs):
         assert set(got[k].b.split(",")) <= set(got[k].s.split(",")) | {""}
 
 
-def test_markov_models_tell_random_from_ordinary(spark):
+def held_out_runs():
+    """Runs of key characters from neither the samples' rule nor their words:
+    digests and encodings, and names of the standard library."""
+    import base64
+    import hashlib
+    import importlib
+    import secrets as system
+
+    keys = []
+    for k in range(200):
+        raw = hashlib.sha512(str(k).encode()).digest()
+        keys += [base64.b64encode(raw[:18]).decode(), base64.urlsafe_b64encode(raw[18:45]).decode(), base64.b32encode(raw[:20]).decode(), raw[40:60].hex(), system.token_urlsafe(24)]
+    names = set()
+    for module in "os socket http.client email.message unittest.mock asyncio concurrent.futures logging.handlers xml.etree.ElementTree urllib.request ssl subprocess tarfile zipfile decimal argparse".split():
+        for name in dir(importlib.import_module(module)):
+            names |= {name, f"{module}.{name}", name.replace("_", "-")}
+    return keys, sorted(n for n in names if len(n) >= 16)
+
+
+def test_markov_models_tell_random_from_ordinary(spark, docs):
     ratios = secrets.default_ratios(spark)
-    own = spark.createDataFrame(secrets.labelled_samples(400, seed=99), "sample string, label int")
-    scored = own.select("label", (secrets.ratio(F.col("sample"), F.lit(ratios)) >= secrets.MARGIN).alias("hit"))
-    rates = {r.label: r.rate for r in scored.groupBy("label").agg(F.avg(F.col("hit").cast("double")).alias("rate")).collect()}
-    assert rates[1] > 0.9 and rates[0] < 0.02
+    keys, names = held_out_runs()
+    own = spark.createDataFrame([(k, 1) for k in keys] + [(n, 0) for n in names], "sample string, label int")
+    scored = own.select("label", "sample", (secrets.ratio(F.col("sample"), F.lit(ratios)) >= secrets.MARGIN).alias("hit")).collect()
+    rate = lambda label: sum(r.hit for r in scored if r.label == label) / sum(r.label == label for r in scored)
+    assert len(names) > 300 and rate(1) > 0.97 and rate(0) < 0.02, [r.sample for r in scored if r.hit != r.label][:30]
+
+
+def test_a_key_around_a_base_span_is_found_whole(spark):
+    ratios = secrets.default_ratios(spark)
+    key = "AbC9xQ7zLm2K" + "0123456789abcdef0123" + "Rt5YuI8oPz4WqX"
+    rows = [(1, f"see {key} here"), (2, "x " + "Zq7Kp0Vw9sLx4TtB" + " and the_name_of_a_function_that_is_long"), (3, "token = 'kJ8s0Wq2Lz5Xv7Nb'"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.s for r in secrets.find_secrets(df, ratios).select("doc_id", secrets.joined(F.col("__spans")).alias("s")).collect()}
+    assert got == {1: f"markov:4:{4 + len(key)},hex:16:36", 2: "markov:2:18", 3: "assign:0:25", 4: ""}
+    assert {r.doc_id: r.text for r in secrets.redact(df, ratios).collect()}[1] == "see [SECRET] here"
+
+
+def test_many_overlapping_spans_become_few_cuts(spark):
+    text = " ".join(["AKIA" + "Z9" * 10, "word", "deadbeef" * 3, "a" * 20] * 300)
+    out = secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string"), secrets.default_ratios(spark)).first().text
+    assert out == " ".join(["[SECRET] word [SECRET] [SECRET]"] * 300)
 
 
 def test_redaction_keeps_rows_and_columns(spark):
