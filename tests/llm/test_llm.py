@@ -109,7 +109,9 @@ def test_token_counts_equal_the_library(spark, docs):
         assert got[(r.doc_id, len(x.encode()))] == len(t.encode(x, add_special_tokens=False).ids)
 
 
-def test_decontamination_by_brute_force(spark, docs):
+@pytest.mark.parametrize("block", [8 << 20, 3000])
+def test_decontamination_by_brute_force(spark, docs, monkeypatch, block):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
     items = spark.read.parquet(f"{AT}/benchmark.parquet").union(spark.createDataFrame([(900, "x y"), (901, None), (902, ""), (900, "x y")], "item_id long, text string"))
     both = docs.select("doc_id", "text").union(odd(spark).select(F.col("doc_id") + 10**6, "text").where("doc_id is not null").distinct())
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -132,7 +134,19 @@ def test_decontamination_by_brute_force(spark, docs):
         assert (got[k].n_words, sum(b - a for a, b in zip(got[k].starts, got[k].ends)), sorted(got[k].items)) == (len(w), len(hit), sorted(found))
         assert (k in kept) == (not hit)
         n += bool(hit)
-    assert n > 2
+    assert n > 2 and decontamination._blocks(items)[1] > (1 if block == 3000 else 0)
+
+
+def test_index_holds_all_terms(spark, docs):
+    index = decontamination.build_index(docs)
+    own = Counter(w for t in texts(docs).values() for w in decontamination.words_of(t.encode()))
+    rows = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("t.terms", "t.counts").collect()
+    got = Counter()
+    for r in rows:
+        got[bytes(r[0])] += r[1]
+    assert got == own
+    some = set(list(own)[:500]) | {b"absent"}
+    assert decontamination.frequencies(index, some) == {w: own[w] for w in some if own[w]}
 
 
 def test_quality_statistics_by_brute_force(spark, docs):
@@ -212,6 +226,55 @@ def test_mix_meets_its_targets(spark, docs):
     assert all(sizes[k] == len(re.findall(r"[^\x20\x09-\x0D]+", t)) for k, t in texts(docs).items())
 
 
+def test_inclusion_follows_document_weights(spark):
+    import math
+
+    sizes = [(10, 400), (100, 60), (1000, 8)]
+    rows = [(k * 1000 + i, "w " * n, "a") for k, (n, many) in enumerate(sizes) for i in range(many)] + [(9000 + i, "v " * 50, "b") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(2)
+    weight = lambda rank: F.when(rank == 0, 1.0).otherwise(2.0)
+    target = sum(n * many for n, many in sizes) + 5000 - 15000  # b stops at three times its words
+    by, often, seeds = Counter(), Counter(), range(6)
+    for seed in seeds:
+        got = mixing.pareto_mix(df, weight, seed).where("source = 'a'").collect()
+        assert got[0].target == target and abs(sum(r.taken for r in got) - target) <= 500
+        for r in got:
+            by[r.size] += r.copies
+            often[r.size] += 1
+    scale = target / sum(n * many * mixing.LONGER ** math.log10(n) for n, many in sizes)
+    want = {n: scale * mixing.LONGER ** math.log10(n) for n, _ in sizes}
+    assert want[10] < want[100] < want[1000] < 1
+    for n in want:
+        p, m = want[n], often[n]
+        assert abs(by[n] / m - p) < 4 * math.sqrt(p * (1 - p) / m) + 0.02, (n, by[n] / m, p)
+
+
+def test_whole_copies_are_certain_and_capped(spark):
+    rows = [(k, "w " * 10 ** (1 + k % 3), "a") for k in range(90)] + [(100 + k, "v " * 5000, "b") for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.pareto_mix(df, lambda rank: F.when(rank == 0, 9.0).otherwise(1.0), document_weight=lambda size: F.when(size == 10, None).otherwise(size)).collect()
+    mine = [r for r in got if r.source == "a"]
+    target = mine[0].target
+    assert abs(sum(r.taken for r in mine) - target) <= 500 and max(r.copies for r in mine) <= 3
+    # copies follow the weights: the longest are repeated most
+    mean = lambda n: sum(r.copies for r in mine if r.size == n) / 30
+    assert mean(10) <= mean(100) <= mean(1000) and min(r.copies for r in mine if r.size == 1000) >= 1
+
+
+def test_mix_of_rows_alike(spark):
+    rows = [(None, "a b c", "s")] * 50 + [(7, "d e f", "s")] * 50 + [(None, None, None)] * 20 + [(8, "x " * 100, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit("theirs")).withColumn("size", F.lit(1))
+    got = mixing.pareto_mix(df, mixing.one_two_three).collect()
+    assert len(got) == len(rows)
+    for s in ("s", "t"):
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own) / 2 + 1
+    out = mixing.mixed_documents(df, mixing.one_two_three)
+    assert out.columns == ["doc_id", "text", "source", "size", "copies", "taken"]
+    assert sorted((r.source, r.taken) for r in out.collect()) == sorted((r.source, r.taken) for r in got if r.copies)
+    assert mixing.mixed_documents(df.limit(0), mixing.one_two_three).count() == 0
+
+
 def test_targets_stop_and_share_again(spark):
     df = spark.createDataFrame([("a", 1), ("b", 100), ("c", 1)], "source string, size long")
     got = {r.source: r.target for r in mixing.source_targets(df, mixing.one_two_three).collect()}
