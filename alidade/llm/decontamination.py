@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is partitioned by document: a shard is a run of documents of about
-SHARD_BYTES of text and is stored as one row that holds, for each term, the
+SHARD_BYTES of text and is stored as one row that holds, for every term, the
 sorted positions of its postings (all documents of the shard laid end to end
 with one empty place between them). Storing it by document means that no
 posting crosses the network and no frequent term meets in one task.
@@ -14,8 +14,7 @@ the whole phrase stands (exact), or looks for terms near one another
 fewer than NEAR_SPAN places of one of its rarest terms, or the item's NEAR_TERMS
 rarest terms that occur at all near one another. So many of a window's rarest
 terms are gone through that each run of NEAR_SPAN words with the share holds
-one of them, so none is missed. While all test texts fit one block, postings are stored
-for their vocabulary only, since no other term can be asked for.
+one of them, so none is missed.
 
 Words: A-Z lower-cased, runs of [0-9a-z] and non-ASCII characters. A window is
 10 words in a row; an item of fewer words, but not none, is one window.
@@ -33,6 +32,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,41 +60,61 @@ class Shard:
 
     starts: np.ndarray  # of each document, in places
     sizes: np.ndarray  # words of each document
-    terms: list[bytes]
+    terms: pa.Array  # binary
     offsets: np.ndarray  # term k has positions[offsets[k]:offsets[k + 1]]
     positions: np.ndarray
 
     @classmethod
-    def build(cls, texts: list[bytes], vocabulary: dict[bytes, int] | None) -> Shard:
+    def build(cls, texts: list[bytes], vocabulary: dict[bytes, int] | None = None) -> Shard:
+        """The postings of all terms, or of a vocabulary's."""
         own: dict[bytes, int] = {} if vocabulary is None else vocabulary
         ids, sizes = [], []
         for text in texts:
             words = words_of(text)
             sizes.append(len(words))
             if vocabulary is None:
-                ids += [own.setdefault(w, len(own)) for w in words]
+                for w in set(words).difference(own):
+                    own[w] = len(own)
+                ids += map(own.__getitem__, words)
             else:
                 ids += map(own.get, words, repeat(-1))
             ids.append(-1)
         flat, sizes_ = np.array(ids, np.int32), np.array(sizes, np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes_ + 1)])[:-1].astype(np.int64)
         at = np.flatnonzero(flat >= 0)
         order = np.argsort(flat[at], kind="stable")
-        held, counts = np.unique(flat[at], return_counts=True)
-        names = list(own)
-        return cls(starts, sizes_, [names[k] for k in held], np.concatenate([[0], np.cumsum(counts)]), at[order].astype(np.int32))
+        counts = np.bincount(flat[at], minlength=len(own)) if len(own) else np.empty(0, np.int64)
+        held = np.flatnonzero(counts)
+        names = pa.array(list(own), pa.binary()).take(pa.array(held))
+        return cls(_starts(sizes_), sizes_, names, np.concatenate([[0], np.cumsum(counts[held])]), at[order].astype(np.int32))
 
-    def row(self, shard: str, doc_ids: list) -> dict:
-        return {
-            "shard": shard, "doc_ids": doc_ids, "sizes": self.sizes, "terms": self.terms,
-            "counts": np.diff(self.offsets), "positions": self.positions,
-        }
+    def row(self, shard: str, doc_ids: list) -> pa.RecordBatch:
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        columns = [pa.array(doc_ids, pa.int64()), pa.array(self.sizes, pa.int64()), self.terms, pa.array(np.diff(self.offsets), pa.int64()), pa.array(self.positions, pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array([shard]), *map(one, columns)], schema=_INDEX_ARROW)
 
     @classmethod
-    def of_row(cls, sizes, terms, counts, positions) -> Shard:
-        sizes = np.asarray(sizes, np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1].astype(np.int64)
-        return cls(starts, sizes, terms, np.concatenate([[0], np.cumsum(np.asarray(counts, np.int64))]), np.asarray(positions, np.int64))
+    def of_row(cls, sizes: pa.Array, terms: pa.Array, counts: pa.Array, positions: pa.Array) -> Shard:
+        n = sizes.to_numpy(zero_copy_only=False)
+        return cls(_starts(n), n, terms, np.concatenate([[0], np.cumsum(counts.to_numpy(zero_copy_only=False))]), positions.to_numpy(zero_copy_only=False))
+
+    def lists_of(self, known: dict[bytes, int]) -> dict[int, np.ndarray]:
+        """The positions of the known terms, by their numbers."""
+        out = {}
+        for k, q in enumerate(map(known.get, self.terms.to_pylist())):
+            if q is not None:
+                out[q] = self.positions[self.offsets[k] : self.offsets[k + 1]]
+        return out
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes + 1)])[:-1].astype(np.int64)
+
+
+def _shards(batch: pa.RecordBatch):
+    """(name, shard) of the rows of (shard, sizes, terms, counts, positions)."""
+    lists = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in batch.columns[1:]]
+    for k, name in enumerate(batch.column(0).to_pylist()):
+        yield name, Shard.of_row(*(c[k].values for c in lists))
 
 
 def _loose(order: list[int], terms: list[int]) -> tuple[list[int], list[tuple[frozenset[int], frozenset[int], int]]]:
@@ -142,24 +162,21 @@ class Queries:
         near: dict[int, set[int]] = {}
         if not places or not self.windows:
             return change[:places] > 0, found, near
-        lists: dict[int, np.ndarray] = {}
+        lists = shard.lists_of(self.ids)
         count = np.zeros(len(self.ids) + 1, np.int64)
-        at = np.full(places + WINDOW, -1, np.int32)
-        for k, term in enumerate(shard.terms):
-            q = self.ids.get(term)
-            if q is not None:
-                own = shard.positions[shard.offsets[k] : shard.offsets[k + 1]]
-                lists[q], count[q] = own, len(own)
-                at[own] = q
+        at = np.full(places, -1, np.int32)
+        for q, own in lists.items():
+            count[q] = len(own)
+            at[own] = q
         count[-1] = 1 << 40  # a place past a short window's end
         of = count[self.table]
         for k in np.flatnonzero(of.min(axis=1) > 0):
             window = self.windows[k]
             rarest = np.argsort(of[k, : len(window)], kind="stable")
-            begin = lists[window[rarest[0]]] - rarest[0]
+            begin = lists[window[rarest[0]]].astype(np.int64) - rarest[0]
             begin = begin[begin >= 0]
             for offset in rarest[1:]:
-                begin = begin[at[begin + offset] == window[offset]]
+                begin = _met(begin, lists[window[offset]], offset)
                 if not len(begin):
                     break
             if len(begin):
@@ -211,28 +228,51 @@ class Queries:
         return np.cumsum(change[:places]) > 0, found, near
 
 
+def _met(begin: np.ndarray, other: np.ndarray, offset: int) -> np.ndarray:
+    """The places of ``begin`` with one of the sorted ``other`` at the offset."""
+    want = begin + offset
+    j = np.minimum(np.searchsorted(other, want), len(other) - 1)
+    return begin[other[j] == want]
+
+
 _INDEX = "shard string, doc_ids array<bigint>, sizes array<bigint>, terms array<binary>, counts array<bigint>, positions array<int>"
 _INDEX_ARROW = pa.schema([("shard", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("terms", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("positions", pa.list_(pa.int32()))])
 
 
-def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None) -> DataFrame:
-    """Stores the positional index of ``docs``, of all terms or a vocabulary's."""
-    names = None if vocabulary is None else {w: k for k, w in enumerate(sorted(vocabulary))}
-    shared = docs.sparkSession.sparkContext.broadcast(names)  # at most the words of one block
+def build_index(docs: DataFrame) -> DataFrame:
+    """Stores the positional index of all terms of ``docs``."""
 
     def work(batches):
-        vocabulary, n = shared.value, 0
-        part = TaskContext.get().partitionId()
+        n, part = 0, TaskContext.get().partitionId()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), list(utf8_rows(batch.column(1)))
             for a, b in slices([len(t) for t in texts], SHARD_BYTES):
-                row = Shard.build(texts[a:b], vocabulary).row(f"{part}:{n}", ids[a:b])
+                yield Shard.build(texts[a:b]).row(f"{part}:{n}", ids[a:b])
                 n += 1
-                yield pa.RecordBatch.from_pylist([row], _INDEX_ARROW)
 
     return stored(docs.select(long_id(docs).alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(work, _INDEX), "index")
 
 
+def frequencies(index: DataFrame, terms: set[bytes]) -> dict[bytes, int]:
+    """How often the terms, of one block of test texts, occur in the index."""
+    shared = index.sparkSession.sparkContext.broadcast(pa.array(sorted(terms), pa.binary()))  # one block
+
+    def work(batches):
+        known = shared.value
+        total = np.zeros(len(known) + 1, np.int64)
+        for batch in batches:
+            for names, counts in zip(batch.column(0), batch.column(1)):
+                place = pc.fill_null(pc.index_in(names.values, known), len(known)).to_numpy(zero_copy_only=False)
+                total += np.bincount(place, counts.values.to_numpy(zero_copy_only=False), len(known) + 1).astype(np.int64)
+        held = np.flatnonzero(total[:-1])
+        yield pa.RecordBatch.from_arrays([known.take(pa.array(held)), pa.array(total[held], pa.int64())], ["term", "n"])
+
+    if not terms:
+        return {}
+    counts = index.select("terms", "counts").mapInArrow(work, "term binary, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return {bytes(r["term"]): r["n"] for r in counts.collect()}  # at most the block's terms
+
+
 def _blocks(items: DataFrame) -> tuple[DataFrame, int]:
     """item, text, block: the test texts dealt to blocks, and how many there are."""
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
@@ -258,26 +298,20 @@ def search(index: DataFrame, items: DataFrame) -> DataFrame:
     out = None
     for k in range(n):
         block = _block(rows, k)
-        vocabulary = {w for _, t in block for w in words_of(t)}
-        frequency = (
-            index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy("t.terms").agg(F.sum("t.counts").alias("n"))
-        )
-        names = spark.createDataFrame([(bytearray(w),) for w in sorted(vocabulary)] or [(bytearray(b""),)], "terms binary")
-        rarity = {bytes(r[0]): r[1] for r in frequency.join(names, "terms", "left_semi").collect()}
+        rarity = frequencies(index, {w for _, t in block for w in words_of(t)})
         shared = spark.sparkContext.broadcast((block, rarity))  # one block
 
         def work(batches):
             queries = Queries(*shared.value)
             for batch in batches:
-                for row in batch.to_pylist():
-                    shard = Shard.of_row(row["sizes"], row["terms"], row["counts"], row["positions"])
+                for name_, shard in _shards(batch):
                     hit, found, near = queries.search(shard)
                     out = []
                     for d in sorted({*found, *near}):
                         a = shard.starts[d]
                         starts, ends = _runs(hit[a : a + shard.sizes[d]])
                         name = lambda ks: [queries.items[x] for x in sorted(ks)]
-                        out.append({"shard": row["shard"], "ordinal": d, "starts": starts, "ends": ends, "items": name(found.get(d, ())), "near": name(near.get(d, ()))})
+                        out.append({"shard": name_, "ordinal": d, "starts": starts, "ends": ends, "items": name(found.get(d, ())), "near": name(near.get(d, ()))})
                     if out:
                         yield pa.RecordBatch.from_pylist(out, _HITS_ARROW)
 
@@ -298,9 +332,7 @@ _HITS_ARROW = pa.schema([("shard", pa.string()), ("ordinal", pa.int64()), ("star
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, starts, ends, items, near for each row of ``docs``."""
-    rows, n = _blocks(items)
-    vocabulary = {w for _, t in _block(rows, 0) for w in words_of(t)} if n == 1 else None
-    index = build_index(docs, vocabulary)
+    index = build_index(docs)
     hits = stored(search(index, items), "hits")
     every = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "sizes")).alias("ordinal", "d"))
     return every.join(hits, (every["shard"] == hits["shard"]) & (every["ordinal"] == hits["ordinal"]), "left").select(
