@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import long_id, slices, stored, table, utf8_rows
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 8 << 20
 NEAR_TERMS = 3
 NEAR_SPAN = 20
@@ -97,13 +97,10 @@ class Shard:
         n = sizes.to_numpy(zero_copy_only=False)
         return cls(_starts(n), n, terms, np.concatenate([[0], np.cumsum(counts.to_numpy(zero_copy_only=False))]), positions.to_numpy(zero_copy_only=False))
 
-    def lists_of(self, known: dict[bytes, int]) -> dict[int, np.ndarray]:
-        """The positions of the known terms, by their numbers."""
-        out = {}
-        for k, q in enumerate(map(known.get, self.terms.to_pylist())):
-            if q is not None:
-                out[q] = self.positions[self.offsets[k] : self.offsets[k + 1]]
-        return out
+    def lists_of(self, known: pa.Array) -> dict[int, np.ndarray]:
+        """The positions of the known terms, by their places among these."""
+        place = pc.fill_null(pc.index_in(self.terms, known), -1).to_numpy(zero_copy_only=False)
+        return {int(place[k]): self.positions[self.offsets[k] : self.offsets[k + 1]] for k in np.flatnonzero(place >= 0)}
 
 
 def _starts(sizes: np.ndarray) -> np.ndarray:
@@ -148,6 +145,7 @@ class Queries:
                 if len(rare) == min(NEAR_TERMS, len(order)):
                     self.near.append((number[name], tuple(self.ids[w] for w in rare)))
                 self.loose.append((number[name], *_loose([self.ids[w] for w in order], terms)))
+        self.terms = pa.array(list(self.ids), pa.binary())
         self.windows = list(seen)
         self.owners = [sorted(seen[w]) for w in self.windows]
         self.table = np.full((len(self.windows), WINDOW), -1, np.int32)
@@ -162,7 +160,7 @@ class Queries:
         near: dict[int, set[int]] = {}
         if not places or not self.windows:
             return change[:places] > 0, found, near
-        lists = shard.lists_of(self.ids)
+        lists = shard.lists_of(self.terms)
         count = np.zeros(len(self.ids) + 1, np.int64)
         at = np.full(places, -1, np.int32)
         for q, own in lists.items():
