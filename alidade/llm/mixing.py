@@ -147,7 +147,8 @@ def _cuts(rows: DataFrame, scales: DataFrame) -> DataFrame:
     ranked = ranked.where("key >= 0")
     state = scales.join(held.withColumnRenamed("s", "of"), F.col("s").eqNullSafe(F.col("of")), "left")
     state = state.select("s", F.greatest(F.lit(0.0), F.col("target") - F.coalesce("held", F.lit(0))).alias("left"), F.lit(0).cast("bigint").alias("low"))
-    state, bits = state.where("left > 0"), 62
+    # written, so that it is known to be small: joins with it are broadcast and no source meets in one task
+    state, bits = stored(state.where("left > 0"), "cut"), 62
     while bits > 0:
         step = min(RADIX, bits)
         bits -= step
