@@ -590,10 +590,58 @@ def test_wrappers_decide_most_pages(spark):
         assert got[r.page_id] == (want, len(want))
 
 
-def test_language_model_prefers_its_corpus(spark, docs):
-    scored = language_model.score(docs).collect()
-    assert len(scored) == docs.count() and all(r.log_likelihood <= 0 for r in scored)
-    assert sum(r.log_likelihood for r in scored) / sum(r.n_tokens for r in scored) > -8.3  # better than a uniform guess
+def test_language_model_beats_unigrams_and_scores_repeats_apart(spark):
+    import math
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    few = d.where("doc_id % 25 = 3")
+    once = {r.doc_id: r for r in language_model.score(d).collect()}
+    counts = Counter(w for t in texts(d).values() for w in t.encode().translate(language_model.LOWER).split())
+    n = sum(counts.values())
+    unigram = sum(c * math.log(c / n) for c in counts.values()) / n
+    assert sum(r.n_tokens for r in once.values()) == n
+    assert sum(r.log_likelihood for r in once.values()) / n > unigram + 0.2
+    # documents that occur twice in the corpus score higher than when they occurred once
+    twice = {r.doc_id: r for r in language_model.score(d.unionAll(few.select(F.col("doc_id") + 10**6, "text"))).collect()}
+    again = [k for k in twice if k >= 10**6 and twice[k].n_tokens > 50]
+    assert len(again) > 20 and all(twice[k].mean_log_likelihood == pytest.approx(twice[k - 10**6].mean_log_likelihood) for k in again)
+    rise = {k: twice[k].mean_log_likelihood - once[k].mean_log_likelihood for k in once if once[k].n_tokens > 50}
+    doubled = sorted(rise[k - 10**6] for k in again)
+    others = sorted(v for k, v in rise.items() if k + 10**6 not in twice)
+    assert doubled[len(doubled) // 10] > others[len(others) * 9 // 10]
+
+
+def test_language_model_does_not_depend_on_the_layout(spark, docs, monkeypatch):
+    monkeypatch.setattr(language_model, "GROUP_BYTES", 1 << 16)  # some groups
+    monkeypatch.setattr(language_model, "SALT_GROUPS", 2)
+    both = docs.select("doc_id", "text").unionAll(odd(spark).select(F.col("doc_id") + 10**6, "text"))
+    a, b = ({r.doc_id: r.log_likelihood for r in language_model.score(df).collect()} for df in (both.coalesce(1), both.repartition(7)))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-4, abs=1e-4) for k in a)
+
+
+def test_log_probabilities_by_brute_force():
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    flat = rng.normal(0, 0.4, len(language_model.Network().flat())).astype(np.float32)
+    net = language_model.Network(flat)
+    rows = [rng.integers(0, language_model._SIZE, n).astype(np.uint16) for n in (7, 0, 1, 12)]
+    ids, starts, sizes = language_model.joined([r.tobytes() for r in rows])
+    got = net.log_probabilities(ids, np.flatnonzero(ids >= 0))
+    want = []
+    for r in rows:
+        for i, w in enumerate(r):
+            near = [int(r[i + o]) if 0 <= i + o < len(r) else -1 for o in (-2, -1, 1, 2)]
+            h = [*np.tanh(sum(net.inputs[k][x].astype(float) for k, x in enumerate(near))), 1.0]
+            p = [math.exp(np.dot(net.classes[c], h)) for c in range(language_model.CLASSES)]
+            c, k = divmod(int(w), language_model.WORDS)
+            q = [math.exp(np.dot(net.words[c][x], h)) for x in range(language_model.WORDS)]
+            want.append(math.log(p[c] / sum(p)) + math.log(q[k] / sum(q)))
+    assert list(got) == pytest.approx(want, abs=1e-3) and [int(s) for s in sizes] == [7, 0, 1, 12]
+    every = [tuple(language_model.masked(99, 50, t)) for t in range(language_model.STEP)]
+    assert sorted(x for e in every for x in e) == list(range(50))  # rounds mask different places
 
 
 def test_nulls_ties_and_empty_tables(spark):
