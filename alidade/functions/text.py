@@ -6,14 +6,36 @@ import unicodedata
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Lines that are boilerplate, and where a posting's tail begins.
-BOILERPLATE = ["cookie policy", "privacy policy", "terms of use", "all rights reserved", "share this", "follow us", "sign in", "log in", "subscribe", "back to top", "read more", "apply now"]
-CUTOFFS = ["similar jobs", "people also viewed", "show more", "referrals increase"]
-SUPPORTED = {"programme": ["lt", "en"], "job_ad": ["lt", "en", "de", "fr", "es", "pl", "lv", "et", "ru", "nl"]}
-MODES = {"none": 0}
+# What makes a line boilerplate, whatever the case of its letters.
+BOILERPLATE = [
+    r"^(all rights reserved|copyright\s*©)",
+    r"^(cookie policy|privacy policy|terms of (use|service))",
+    r"we use cookies",
+    r"subscribe to our newsletter",
+    r"follow us on (linkedin|twitter|facebook)",
+    r"^\s*share\s+(this\s+)?(job|post|article)\s*$",
+    r"^\s*(apply now|send cv|siųsti cv)\s*$",
+    r"^\s*(back to (top|search|results))\s*$",
+    r"lygios galimybės",
+    r"mes garantuojame",
+    r"^\s*[\|\-–—•]+\s*$",
+    r"^\s*\d+\s*$",
+    r"click here to apply",
+    r"equal opportunity employer",
+    r"<\s*/?[a-z][^>]{0,100}>",
+]
+# A job post's header line, and the lines where what is not about the job begins.
+POST_HEADER = r"^\s*about the job\s*$"
+POST_CUTOFFS = [
+    r"^\s*(what we offer|we offer|our offer|what you('ll| will) get|benefits|benefits for you|perks|equal opportunity|salary\s*:.*|compensation\s*:.*|atlyginimas\s*:.*|siųsdami savo gyvenimo aprašymą|kandidatų konfidencialumą|joinrs ai)\s*$",
+    r"we are proud to (foster|be an equal)|proud to be an equal opportunity|we (provide|ensure) equal opportunity|workplace free from discrimination|committed to (fostering|building) an inclusive",
+]
+#: What ends a line.
+LINE_ENDS = "\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+SUPPORTED = {"programme": ["lt", "en"], "job_ad": ["lt", "en", "lv", "et", "pl", "de", "fr", "nl", "sv", "es"]}
 
 
 class _Text(HTMLParser):
@@ -62,6 +84,31 @@ def collapse_space(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, "\\n{3,}", "\n\n"), "\\A[ \\n\\t\\r]+|[ \\n\\t\\r]+\\z", "")
 
 
+def _says(line: Column, pattern: str) -> Column:
+    return line.rlike("(?iu)" + pattern)
+
+
+def _lines(text: Column) -> Column:
+    """Lines as they end in text, without an empty one behind the last end."""
+    parts = F.split(text, LINE_ENDS, -1)
+    return F.when((F.size(parts) > 0) & (F.element_at(parts, -1) == ""), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
+def drop_boilerplate(text: Column) -> Column:
+    """Without the lines that a pattern of BOILERPLATE finds in; one search of
+    the joined patterns a line."""
+    pattern = "|".join(f"(?:{p})" for p in BOILERPLATE)
+    return F.array_join(F.filter(_lines(text), lambda x: ~_says(F.trim(x), pattern)), "\n")
+
+
+def strip_post(text: Column) -> Column:
+    """A job post without its header lines, up to the first cutoff line."""
+    lines = _lines(text)
+    cut = F.array_position(F.transform(lines, lambda x: _says(x, POST_CUTOFFS[0]) | _says(x, POST_CUTOFFS[1])), True).cast("int")
+    body = F.when(cut > 0, F.slice(lines, F.lit(1), cut - 1)).otherwise(lines)
+    return F.array_join(F.filter(body, lambda x: ~_says(x, POST_HEADER)), "\n")
+
+
 def drop_lines(text: Column, phrases: list[str]) -> Column:
     """Without the lines that hold one of the phrases."""
     lines = F.split(text, "\n", -1)
@@ -88,8 +135,8 @@ def drop_urls(text: Column) -> Column:
 
 def clean(text: Column, least: int = 50, html: bool = False) -> Column:
     """All steps in order; null below the least length."""
-    t = strip_html(text) if html else text
-    t = collapse_space(drop_urls(drop_lines(collapse_space(t), BOILERPLATE)))
+    t = nfc(strip_html(text) if html else text)
+    t = collapse_space(drop_urls(drop_boilerplate(collapse_space(t))))
     return F.when(F.length(t) >= least, t)
 
 
@@ -132,23 +179,54 @@ def chunks(text: Column, most: int = 4500) -> Column:
     return cut(text)
 
 
+def tag_language(text: Column, stop_words: dict[str, list[str]], kind: str) -> Column:
+    """(language, confidence, supported) of a text; no language is not supported."""
+    found = detect_language(text, stop_words)
+    return F.struct(found["language"].alias("language"), F.coalesce(found["confidence"], F.lit(0.0)).alias("confidence"), F.coalesce(supported(found["language"], kind), F.lit(False)).alias("supported"))
+
+
+def tokens(text: Column, stop_words: dict[str, list[str]]) -> Column:
+    """Lower-case words of two letters or more that stop no language; a native
+    stand-in for a lemmatizer."""
+    stop = F.array(*(F.lit(w) for w in sorted({w for ws in stop_words.values() for w in ws})))
+    every = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[\\p{L}\\p{N}]{2,}"), F.lit(0))
+    return F.filter(every, lambda w: ~F.array_contains(stop, w))
+
+
+def process_records(records: DataFrame, fields: list[str], kind: str, stop_words: dict[str, list[str]], marker: str | None = None, html: bool = True, translate=None) -> DataFrame:
+    """``records`` with cleaned_text, language, language_confidence,
+    language_supported and tokens.
+
+    The fields that are not blank are joined by spaces and cleaned (null below
+    30 characters); a programme loses what stands before the marker, a job post
+    its header and tail. ``translate`` maps the text column of Lithuanian job
+    posts to English; without one they stay as they are."""
+    part = lambda c: F.when(F.col(c).cast("string").rlike("(?U)\\S"), F.col(c).cast("string"))
+    rows = records.withColumn("cleaned_text", clean(F.concat_ws(" ", *map(part, fields)), 30, html))
+    if kind == "job_ad":
+        rows = rows.withColumn("cleaned_text", strip_post(F.col("cleaned_text")))
+    elif marker is not None:
+        rows = rows.withColumn("cleaned_text", after_marker(F.col("cleaned_text"), marker))
+    rows = rows.withColumn("__tag", F.when(F.col("cleaned_text").isNotNull(), tag_language(F.col("cleaned_text"), stop_words, kind)))
+    if kind == "job_ad" and translate is not None:
+        foreign = F.col("__tag.language") == "lt"
+        rows = rows.withColumn("cleaned_text", F.when(foreign, translate(F.col("cleaned_text"))).otherwise(F.col("cleaned_text")))
+        rows = rows.withColumn("__tag", F.when(foreign, F.struct(F.lit("en").alias("language"), F.lit(1.0).alias("confidence"), F.lit(True).alias("supported"))).otherwise(F.col("__tag")))
+    return rows.select("*", F.col("__tag.language").alias("language"), F.coalesce("__tag.confidence", F.lit(0.0)).alias("language_confidence"), F.coalesce("__tag.supported", F.lit(False)).alias("language_supported"), tokens(F.col("cleaned_text"), stop_words).alias("tokens")).drop("__tag")
+
+
 def sections(text: Column) -> Column:
     """(header, body) of each section: a header is a line that ends in a colon
-    and has 4 to 79 characters; text before the first has header ''. """
+    and has 4 to 79 characters; text before the first has header ''. Bodies are
+    slices between the headers' places, so long texts cost their length."""
     lines = F.split(text, "\n", -1)
-    return F.aggregate(
-        lines,
-        F.array(F.struct(F.lit("").alias("header"), F.lit("").alias("body"))),
-        lambda acc, x: F.when(
-            F.trim(x).endswith(":") & F.length(F.trim(x)).between(4, 79),
-            F.concat(acc, F.array(F.struct(F.lower(F.regexp_replace(F.trim(x), ":\\z", "")).alias("header"), F.lit("").alias("body")))),
-        ).otherwise(
-            F.concat(
-                F.slice(acc, F.lit(1), F.size(acc) - 1),
-                F.array(F.struct(F.get(acc, F.size(acc) - 1)["header"].alias("header"), F.trim(F.concat_ws("\n", F.nullif(F.get(acc, F.size(acc) - 1)["body"], F.lit("")), x)).alias("body"))),
-            )
-        ),
-    )
+    is_header = lambda x: F.trim(x).endswith(":") & F.length(F.trim(x)).between(4, 79)
+    places = F.filter(F.transform(lines, lambda x, i: F.when(is_header(x), i + 1)), lambda i: i.isNotNull())
+    starts = F.concat(F.array(F.lit(0)), places)
+    ends = F.concat(places, F.array(F.size(lines) + 1))
+    body = lambda a, b: F.trim(F.array_join(F.transform(F.slice(lines, a + 1, b - a - 1), lambda x: F.trim(x)), "\n"))
+    name = lambda a: F.when(a == 0, F.lit("")).otherwise(F.lower(F.regexp_replace(F.trim(F.get(lines, a - 1)), ":\\z", "")))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(name(a).alias("header"), body(a, b).alias("body")))
 
 
 def skill_tags(text: Column, terms: list[str]) -> Column:

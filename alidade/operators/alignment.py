@@ -154,19 +154,24 @@ def frequency_penalty(df: DataFrame, score: str, n_programmes: DataFrame, top_k:
     return rows.withColumn("penalty", F.coalesce(scaled, F.lit(1.0))).drop("often", "n_programmes", "ipf", "low", "high")
 
 
-def hybrid(semantic: DataFrame, programme_w: DataFrame, job_w: DataFrame, skills: DataFrame, idf: DataFrame, n_programmes: DataFrame, semantic_top_n: int = 50, alpha: float = 0.55, gamma: float = 0.3, ipf_top_k: int = 30) -> DataFrame:
-    """The hybrid ranking: the semantic top n, recall times match quality,
-    damped min-max of cosine, min-max of recall, their mix, and the penalty.
+def hybrid_parts(semantic: DataFrame, programme_w: DataFrame, job_w: DataFrame, skills: DataFrame, idf: DataFrame, semantic_top_n: int = 50, gamma: float = 0.3) -> DataFrame:
+    """Of the semantic top n: cosine, recall (times match quality), and their
+    norms c (damped min-max) and r (min-max): what no mixing weight changes.
 
     Set scores are computed for candidates only, which is exact since recall
     is a pair's own and idf is the corpus's."""
-    if not 0.0 <= alpha <= 1.0:
-        raise ValueError(f"alpha must be in [0, 1], not {alpha}")
     candidates = top_by(semantic.where("cosine is not null"), semantic_top_n, F.desc("cosine"), "job_id").select(*PAIR, "cosine")
     scored = set_scores(programme_w, job_w, candidates).drop("weighted_jaccard", "overlap_coeff")
     scored = match_quality(scored, skills, idf, gamma).withColumn("recall", F.round(F.col("programme_recall") * F.col("quality"), 9))
     scored = confidence(scored, "cosine")
-    scored = scored.withColumn("c", minmax("cosine") * F.col("confidence")).withColumn("r", minmax("recall"))
+    return scored.withColumn("c", minmax("cosine") * F.col("confidence")).withColumn("r", minmax("recall"))
+
+
+def hybrid(semantic: DataFrame, programme_w: DataFrame, job_w: DataFrame, skills: DataFrame, idf: DataFrame, n_programmes: DataFrame, semantic_top_n: int = 50, alpha: float = 0.55, gamma: float = 0.3, ipf_top_k: int = 30) -> DataFrame:
+    """The hybrid ranking: the candidates' norms, their mix, and the penalty."""
+    if not 0.0 <= alpha <= 1.0:
+        raise ValueError(f"alpha must be in [0, 1], not {alpha}")
+    scored = hybrid_parts(semantic, programme_w, job_w, skills, idf, semantic_top_n, gamma)
     scored = scored.withColumn("mixed", F.round(alpha * F.col("c") + (1 - alpha) * F.col("r"), 9))
     if ipf_top_k:
         scored = frequency_penalty(scored, "mixed", n_programmes, ipf_top_k, extra_order=(F.desc("cosine"),))

@@ -178,3 +178,24 @@ def resampled(jobs: DataFrame, rounds: int, share: float = 0.8) -> DataFrame:
     h = F.md5(F.concat_ws(":", F.col("replicate").cast("string"), F.col("job_id").cast("string")))
     rows = each.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(h, "job_id")))
     return rows.where(F.col("r") <= F.floor(share * F.col("n"))).select("replicate", "job_id")
+
+
+def union_all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def coverage_at_k(ranking: DataFrame, score: str, records: DataFrame, k: int = 10) -> DataFrame:
+    """The share of all jobs that stand in some programme's top k."""
+    seen = top_by(ranking, k, F.desc(score), "job_id").agg(F.countDistinct("job_id").alias("n"))
+    jobs = records.agg(F.count_if(F.col("source_type") == "job_ad").alias("jobs"))
+    return seen.join(F.broadcast(jobs)).select(F.when(F.col("jobs") > 0, F.col("n") / F.col("jobs")).otherwise(0.0).alias("coverage"))
+
+
+def paired(a: DataFrame, b: DataFrame) -> DataFrame:
+    """n, statistic, effect (see ``signed_rank``) and the mean difference of two
+    tables (programme_id, mean_top)."""
+    both = a.join(b.withColumnRenamed("mean_top", "other"), "programme_id").select(F.round(F.col("mean_top") - F.col("other"), 9).alias("d"), F.lit(0.0).alias("z"))
+    return signed_rank(both, "d", "z").join(F.broadcast(both.agg(F.avg("d").alias("mean"))))

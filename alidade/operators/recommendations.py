@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .alignment import top_by
@@ -57,3 +57,8 @@ def export_mapping(ranking: DataFrame, score: str, gaps: DataFrame, labels: Data
     )
     top = top_by(ranking, n, F.desc(score), "job_id").select("programme_id", "job_id", "rank", F.col(score).alias("score"))
     return top.join(text, ["programme_id", "job_id"], "left").withColumn("missing", F.coalesce("missing", F.lit("")))
+
+
+def safe_mean(value: Column) -> Column:
+    """Aggregate: the mean of what is neither null nor NaN."""
+    return F.avg(F.when(~F.isnan(value), value))

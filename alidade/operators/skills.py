@@ -57,7 +57,9 @@ def ngrams(words: Column, longest: int = 8) -> Column:
 
 def dictionary_matches(records: DataFrame, labels: DataFrame, words: Column, longest: int = 8) -> DataFrame:
     """record_id, uri, hits: phrases of a record that are labels (label_lc, uri)."""
-    grams = records.select("record_id", F.explode(ngrams(words, longest)).alias("label_lc")).groupBy("record_id", "label_lc").agg(F.count("*").alias("hits"))
+    # the words are a column of their own first: inside the n-grams' lambdas they would be found again for each place
+    rows = records.select("record_id", words.alias("__words"))
+    grams = rows.select("record_id", F.explode(ngrams(F.col("__words"), longest)).alias("label_lc")).groupBy("record_id", "label_lc").agg(F.count("*").alias("hits"))
     return grams.join(labels, "label_lc").groupBy("record_id", "uri").agg(F.sum("hits").alias("hits"))
 
 
@@ -75,6 +77,16 @@ def label_index(taxonomy: DataFrame) -> DataFrame:
     return each.groupBy("label_lc").agg(F.min_by("uri", F.struct("pos", "at")).alias("uri"))
 
 
+def best_surfaces(candidates: DataFrame, threshold: float = RELEVANT) -> DataFrame:
+    """record_id, uri, matched_text, confidence from candidates (record_id,
+    surface, dictionary_uri, nearest_uri, relevance): those that reach the
+    threshold, the dictionary's uri before the nearest one, and of each uri the
+    surface of the highest relevance (of equal ones the least)."""
+    rows = candidates.where(F.col("relevance") >= threshold).withColumn("uri", F.coalesce("dictionary_uri", "nearest_uri")).where("uri is not null")
+    best = rows.groupBy("record_id", "uri").agg(F.min(F.struct((-F.col("relevance")).alias("o"), "surface")).alias("b"))
+    return best.select("record_id", "uri", F.col("b.surface").alias("matched_text"), F.round(-F.col("b.o"), 4).alias("confidence"))
+
+
 def implicit_skills(neighbours: DataFrame, skills: DataFrame, top_k: int = 10, threshold: float = 0.6) -> DataFrame:
     """record_id, uri, confidence: skills of up to top_k neighbours (record_id,
     other_id, cosine) at the threshold or above that the record lacks."""

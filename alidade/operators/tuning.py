@@ -24,13 +24,13 @@ def rank_norm(score: str, *by: str) -> Column:
     return ratio(rank - 1.0, F.count("*").over(own) - 1.0)
 
 
-def variant(kind: str, alpha: float, a: str, b: str, boost: float = 0.0, eps: float = 1e-6) -> Column:
+def variant(kind: str, alpha, a: str, b: str, boost: float = 0.0, eps: float = 1e-6) -> Column:
     """Linear, geometric or harmonic mix, times 1 + boost * (1 - |a - b|)."""
-    x, y = F.col(a), F.col(b)
+    x, y, alpha = F.col(a), F.col(b), F.lit(alpha)
     if kind == "linear":
         mix = alpha * x + (1 - alpha) * y
     elif kind == "geometric":
-        mix = F.pow(F.greatest(x, F.lit(eps)), F.lit(alpha)) * F.pow(F.greatest(y, F.lit(eps)), F.lit(1 - alpha))
+        mix = F.pow(F.greatest(x, F.lit(eps)), alpha) * F.pow(F.greatest(y, F.lit(eps)), 1 - alpha)
     elif kind == "harmonic":
         mix = 1.0 / (alpha / F.greatest(x, F.lit(eps)) + (1 - alpha) / F.greatest(y, F.lit(eps)))
     else:
@@ -56,6 +56,19 @@ def diversity(df: DataFrame, score: str, keys=()) -> DataFrame:
     return rows.select(*keys, (F.col("n_top1") / F.col("n_programmes")).alias("diversity"), "n_generalists", "most", "cov")
 
 
+def top_diversity(df: DataFrame, score: str, keys) -> DataFrame:
+    """By grid value: the share of programmes with a best job of their own, the
+    distinct jobs of all top fives, and the scores' variation and mean."""
+    w = Window.partitionBy(*keys, "programme_id").orderBy(F.desc(score), "job_id")
+    rows = df.withColumn("place", F.row_number().over(w))
+    return rows.groupBy(*keys).agg(
+        (F.countDistinct(F.when(F.col("place") == 1, F.col("job_id"))) / F.countDistinct("programme_id")).alias("diversity_1"),
+        F.countDistinct(F.when(F.col("place") <= 5, F.col("job_id"))).alias("jobs_5"),
+        F.when(F.avg(score) != 0, F.stddev_samp(score) / F.avg(score)).alias("cov"),
+        F.avg(score).alias("mean"),
+    )
+
+
 def changes(base: DataFrame, other: DataFrame) -> DataFrame:
     """programme_id, base_job, other_job, changed from two top1 tables."""
     a, b = base.select("programme_id", F.col("top1").alias("base_job")), other.select("programme_id", F.col("top1").alias("other_job"))

@@ -106,8 +106,7 @@ def test_signatures_match_brute_force(spark):
     want = {}
     for i, t in rows:
         grams = {t[a : a + 3] for a in range(len(t) - 2)} if t else set()
-        if grams:
-            want[i] = tuple(min(int(md5(f"{s}{g}".encode()).hexdigest()[:15], 16) for g in grams) for s in range(4))
+        want[i] = tuple(min((int(md5(f"{s}{g}".encode()).hexdigest()[:15], 16) for g in grams), default=0) for s in range(4))
     assert got == want
     assert D.signatures(df.limit(0), F.col("text"), 4).count() == 0
 
@@ -127,3 +126,65 @@ def test_variants(spark):
     assert df.select(P.variant("harmonic", 0.5, "a", "b").alias("v")).first().v == pytest.approx(0.4)
     with pytest.raises(ValueError):
         P.variant("other", 0.5, "a", "b")
+
+
+def test_chain_of_three_levels(spark):
+    base = "the quick brown fox jumps over the lazy dog again and again until it is very tired of it all "
+    near, far = base * 6, base * 3 + "and then something else entirely happens to the cat and to the bird in the tree " * 3
+    rows = [(1, "u/a?x", near), (2, "U/A?y", far), (3, "u/b", near.upper()), (4, "u/c", near.replace("tired", "tiree")), (5, None, far), (6, None, None), (7, "", ""), (8, "u/a", "other")]
+    df = spark.createDataFrame(rows, "record_id long, url string, text string")
+    got = {r.record_id for r in D.deduplicated(df, F.col("url"), F.col("text"), ["record_id"]).collect()}
+    signs = {r[0]: r[1:] for r in D.signatures(df, D.normalised(F.col("text"))).collect()}
+    alike = lambda a, b: sum(x == y for x, y in zip(signs[a], signs[b])) / 128 >= 0.85
+    kept, keys, prints, signed = [], set(), set(), []
+    for i, url, text in rows:  # one by one, as the definition says
+        key = (url or "").lower().split("?")[0]
+        if key and key in keys:
+            continue
+        keys.add(key)
+        if text:
+            fp = " ".join(text.lower().split())
+            if fp in prints:
+                continue
+            prints.add(fp)
+            if any(alike(i, j) for j in signed):
+                continue
+            signed.append(i)
+        kept.append(i)
+    assert got == set(kept) and 4 not in got and {1, 5, 6, 7} <= got
+
+
+def test_chunks_lose_nothing(spark):
+    texts = ["One. Two two. " * 400, "word " * 900, "x" * 3000, "short", "", None]
+    got = [r.c for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", T.chunks(F.col("t"), 1000).alias("c")).orderBy("k").collect()]
+    for t, c in zip(texts, got):
+        if t is None:
+            assert c is None
+        else:
+            assert all(0 < len(x) <= 1000 for x in c) and "".join("".join(c).split()) == "".join(t.split())
+    assert all(x.endswith(".") for x in got[0])
+
+
+def test_records_are_read_and_written(spark, tmp_path):
+    from alidade.sources import files as S
+
+    assert S.read_records(spark, str(tmp_path / "none.json"), S.JOB).count() == 0
+    rows = spark.createDataFrame([("Developer", "ACME", ["sql", "java"])], "title string, company string, required_skills array<string>")
+    S.write_records(rows, str(tmp_path / "jobs"))
+    back = S.read_records(spark, str(tmp_path / "jobs"), S.JOB).first()
+    assert (back.title, back.company, back.required_skills, back.url) == ("Developer", "ACME", ["sql", "java"], None)
+    at = tmp_path / "skills.csv"
+    at.write_text('\ufeffconceptUri,skillType,reuseLevel,preferredLabel,altLabels,hiddenLabels,status,modifiedDate,scopeNote,definition,inScheme,description,code\nu1,s,r,"Java","Java\ncoffee ""code""",,,,,"a, b",,,1\n,s,r,none,,,,,,,,,2\n', encoding="utf-8")
+    [r] = S.read_taxonomy(spark, str(at)).collect()
+    assert (r.uri, r.preferred_label, r.alt_labels, r.description) == ("u1", "Java", ['coffee "code"'], "a, b")
+
+
+def test_records_are_processed(spark):
+    words = {"en": ["the", "and"], "lt": ["ir", "su"]}
+    rows = [("About the job\nir su ir visi kiti labai geri darbai", " ", None), ("the work and the tools we use here", "  ", "What we offer\nmoney"), ("x", None, None)]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    got = T.process_records(df, ["a", "b", "c"], "job_ad", words, html=False, translate=lambda t: F.lit("translated")).collect()
+    assert [r.language for r in got] == ["en", "en", None] and got[0].cleaned_text == "translated" and got[2].cleaned_text is None
+    assert got[0].language_confidence == 1.0 and got[2].tokens == [] and not got[2].language_supported
+    marked = T.process_records(df, ["a"], "programme", words, marker="work", html=False).collect()[1]
+    assert marked.cleaned_text == "and the tools we use here" and marked.tokens == ["tools", "we", "use", "here"]
