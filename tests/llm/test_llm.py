@@ -640,6 +640,9 @@ def test_log_probabilities_by_brute_force():
             q = [math.exp(np.dot(net.words[c][x], h)) for x in range(language_model.WORDS)]
             want.append(math.log(p[c] / sum(p)) + math.log(q[k] / sum(q)))
     assert list(got) == pytest.approx(want, abs=1e-3) and [int(s) for s in sizes] == [7, 0, 1, 12]
+    apart = np.array([[0.0, 1.0], [-500.0, -500.5], [300.0, 299.0]], np.float32)
+    assert list(language_model._log_softmax_at(apart.copy(), np.array([1, 0, 0]))) == pytest.approx([-math.log(1 + math.exp(-1)), -math.log(1 + math.exp(-0.5)), -math.log(1 + math.exp(-1))], abs=1e-4)
+    assert language_model._softmax(apart.copy()).sum(1) == pytest.approx([1, 1, 1])
     every = [tuple(language_model.masked(99, 50, t)) for t in range(language_model.STEP)]
     assert sorted(x for e in every for x in e) == list(range(50))  # rounds mask different places
 
