@@ -675,4 +675,21 @@ def test_pipeline(spark):
         before = d.count()
         d = stage(spark, d, AT)
         assert d.columns == ["doc_id", "text", "lang", "source", "n_chars"] and 0 < d.count() <= before, name
-    assert corpus_pipeline.run(spark, AT).count() == d.count()
+    mix = corpus_pipeline.run(spark, AT)
+    assert mix.columns == ["doc_id", "text", "lang", "source", "n_chars", "copies", "taken"]
+    rows, before = mix.collect(), {r.doc_id: r.text for r in d.collect()}
+    assert rows and all(before[r.doc_id] == r.text and 1 <= r.copies <= 3 and r.taken == r.copies * len(r.text.split()) for r in rows)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    for df in (odd(spark), spark.createDataFrame([], SCHEMA)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, AT)
+            assert set(df.columns) <= set(out.columns), name
+            kept = Counter(r.text for r in out.select("text").collect())
+            if name in ("toxicity", "decontamination", "secrets"):
+                assert out.count() == df.count(), name
+            elif name == "near_duplicates" and df.count():
+                assert kept["no id"] == 1 and kept["same text here now"] == 1 and kept["z" * 5000] == 1
