@@ -88,10 +88,15 @@ def _says(line: Column, pattern: str) -> Column:
     return line.rlike("(?iu)" + pattern)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once a row however often body names
+    it; conditions and lambdas otherwise compute it again at each place."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _lines(text: Column) -> Column:
     """Lines as they end in text, without an empty one behind the last end."""
-    parts = F.split(text, LINE_ENDS, -1)
-    return F.when((F.size(parts) > 0) & (F.element_at(parts, -1) == ""), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return F.split(F.regexp_replace(text, f"(?:{LINE_ENDS})\\z", ""), LINE_ENDS, -1)
 
 
 def drop_boilerplate(text: Column) -> Column:
@@ -103,10 +108,10 @@ def drop_boilerplate(text: Column) -> Column:
 
 def strip_post(text: Column) -> Column:
     """A job post without its header lines, up to the first cutoff line."""
-    lines = _lines(text)
-    cut = F.array_position(F.transform(lines, lambda x: _says(x, POST_CUTOFFS[0]) | _says(x, POST_CUTOFFS[1])), True).cast("int")
-    body = F.when(cut > 0, F.slice(lines, F.lit(1), cut - 1)).otherwise(lines)
-    return F.array_join(F.filter(body, lambda x: ~_says(x, POST_HEADER)), "\n")
+    cutoff = "|".join(f"(?:{p})" for p in POST_CUTOFFS)
+    place = lambda lines: F.array_position(F.transform(lines, lambda x: _says(x, cutoff)), True).cast("int")
+    body = lambda lines: let(place(lines), lambda cut: F.when(cut > 0, F.slice(lines, F.lit(1), cut - 1)).otherwise(lines))
+    return F.array_join(F.filter(let(_lines(text), body), lambda x: ~_says(x, POST_HEADER)), "\n")
 
 
 def drop_lines(text: Column, phrases: list[str]) -> Column:
@@ -117,16 +122,15 @@ def drop_lines(text: Column, phrases: list[str]) -> Column:
 
 def cut_before(text: Column, phrases: list[str]) -> Column:
     """Up to the first line that holds one of the phrases."""
-    lines = F.split(text, "\n", -1)
-    flags = F.transform(lines, lambda x: F.exists(F.array(*(F.lit(p) for p in phrases)), lambda p: F.contains(F.lower(x), p)))
-    at = F.array_position(flags, True)
-    return F.when(at > 0, F.array_join(F.slice(lines, F.lit(1), F.greatest(F.lit(0), at.cast("int") - 1)), "\n")).otherwise(text)
+    hit = lambda x: F.exists(F.array(*(F.lit(p) for p in phrases)), lambda p: F.contains(F.lower(x), p))
+    place = lambda lines: F.array_position(F.transform(lines, hit), True).cast("int")
+    body = lambda lines: let(place(lines), lambda at: F.when(at > 0, F.slice(lines, F.lit(1), at - 1)).otherwise(lines))
+    return F.array_join(let(F.split(text, "\n", -1), body), "\n")
 
 
 def after_marker(text: Column, marker: str) -> Column:
     """What follows the marker, or the text."""
-    at = F.instr(text, marker)
-    return F.when(at > 0, F.ltrim(F.substring(text, at + len(marker), F.length(text)))).otherwise(text)
+    return let(text, lambda t: let(F.instr(t, marker), lambda at: F.when(at > 0, F.ltrim(F.substring(t, at + len(marker), F.length(t)))).otherwise(t)))
 
 
 def drop_urls(text: Column) -> Column:
@@ -137,7 +141,7 @@ def clean(text: Column, least: int = 50, html: bool = False) -> Column:
     """All steps in order; null below the least length."""
     t = nfc(strip_html(text) if html else text)
     t = collapse_space(drop_urls(drop_boilerplate(collapse_space(t))))
-    return F.when(F.length(t) >= least, t)
+    return let(t, lambda x: F.when(F.length(x) >= least, x))
 
 
 def words(text: Column) -> Column:
@@ -152,10 +156,16 @@ def supported(language: Column, kind: str) -> Column:
 def detect_language(text: Column, stop_words: dict[str, list[str]]) -> Column:
     """(language, confidence) by the share of each language's stop words; a
     native stand-in for a detector: null below 20 characters."""
-    own = F.array_distinct(words(text))
-    counts = [F.struct(F.size(F.array_intersect(own, F.array(*(F.lit(w) for w in ws)))).alias("n"), F.lit(k).alias("language")) for k, ws in sorted(stop_words.items())]
-    best, total = F.array_max(F.array(*counts)), F.aggregate(F.array(*(c["n"] for c in counts)), F.lit(0), lambda s, n: s + n)
-    return F.when((F.length(F.trim(text)) >= 20) & (total > 0), F.struct(best["language"].alias("language"), F.round(best["n"] / total, 3).alias("confidence")))
+    every = sorted({w for ws in stop_words.values() for w in ws})
+    own = lambda t: F.array_intersect(words(t), F.array(*(F.lit(w) for w in every)))
+    count = lambda o, k: F.struct(F.size(F.array_intersect(o, F.array(*(F.lit(w) for w in stop_words[k])))).alias("n"), F.lit(k).alias("language"))
+    counts = lambda t: let(own(t), lambda o: F.array(*(count(o, k) for k in sorted(stop_words))))
+
+    def best(c: Column) -> Column:
+        top, total = F.array_max(c), F.aggregate(c, F.lit(0), lambda s, x: s + x["n"])
+        return F.when(total > 0, F.struct(top["language"].alias("language"), F.round(top["n"] / total, 3).alias("confidence")))
+
+    return let(text, lambda t: F.when(F.length(F.trim(t)) >= 20, let(counts(t), best)))
 
 
 def chunks(text: Column, most: int = 4500) -> Column:
@@ -181,8 +191,8 @@ def chunks(text: Column, most: int = 4500) -> Column:
 
 def tag_language(text: Column, stop_words: dict[str, list[str]], kind: str) -> Column:
     """(language, confidence, supported) of a text; no language is not supported."""
-    found = detect_language(text, stop_words)
-    return F.struct(found["language"].alias("language"), F.coalesce(found["confidence"], F.lit(0.0)).alias("confidence"), F.coalesce(supported(found["language"], kind), F.lit(False)).alias("supported"))
+    tag = lambda found: F.struct(found["language"].alias("language"), F.coalesce(found["confidence"], F.lit(0.0)).alias("confidence"), F.coalesce(supported(found["language"], kind), F.lit(False)).alias("supported"))
+    return let(detect_language(text, stop_words), tag)
 
 
 def tokens(text: Column, stop_words: dict[str, list[str]]) -> Column:
@@ -219,14 +229,18 @@ def sections(text: Column) -> Column:
     """(header, body) of each section: a header is a line that ends in a colon
     and has 4 to 79 characters; text before the first has header ''. Bodies are
     slices between the headers' places, so long texts cost their length."""
-    lines = F.split(text, "\n", -1)
-    is_header = lambda x: F.trim(x).endswith(":") & F.length(F.trim(x)).between(4, 79)
-    places = F.filter(F.transform(lines, lambda x, i: F.when(is_header(x), i + 1)), lambda i: i.isNotNull())
-    starts = F.concat(F.array(F.lit(0)), places)
-    ends = F.concat(places, F.array(F.size(lines) + 1))
-    body = lambda a, b: F.trim(F.array_join(F.transform(F.slice(lines, a + 1, b - a - 1), lambda x: F.trim(x)), "\n"))
-    name = lambda a: F.when(a == 0, F.lit("")).otherwise(F.lower(F.regexp_replace(F.trim(F.get(lines, a - 1)), ":\\z", "")))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(name(a).alias("header"), body(a, b).alias("body")))
+    is_header = lambda x: x.endswith(":") & F.length(x).between(4, 79)
+
+    def parts(lines: Column, places: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), places)
+        ends = F.concat(places, F.array(F.size(lines) + 1))
+        body = lambda a, b: F.trim(F.array_join(F.slice(lines, a + 1, b - a - 1), "\n"))
+        name = lambda a: F.when(a == 0, F.lit("")).otherwise(F.lower(F.regexp_replace(F.get(lines, a - 1), ":\\z", "")))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(name(a).alias("header"), body(a, b).alias("body")))
+
+    places = lambda lines: F.filter(F.transform(lines, lambda x, i: F.when(is_header(x), i + 1)), lambda i: i.isNotNull())
+    trimmed = F.transform(F.split(text, "\n", -1), lambda x: F.trim(x))
+    return let(trimmed, lambda lines: let(places(lines), lambda at: parts(lines, at)))
 
 
 def skill_tags(text: Column, terms: list[str]) -> Column:
