@@ -8,10 +8,14 @@ pairs are filled with zeros only where the whole ranking is asked for.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAIR = ["programme_id", "job_id"]
+#: Vectors of a side in one block: a block of scores takes 8 MB.
+BLOCK = 1024
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -24,24 +28,34 @@ def top_by(df: DataFrame, n: int, *order, by: str = "programme_id") -> DataFrame
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def set_overlap(programme_w: DataFrame, job_w: DataFrame) -> DataFrame:
-    """programme_id, job_id, shared: sums of the smaller weights of shared skills."""
+def smaller_weights(programme_w: DataFrame, job_w: DataFrame) -> DataFrame:
+    """programme_id, job_id, least: the smaller weight of each shared skill."""
     p = programme_w.select(F.col("record_id").alias("programme_id"), "uri", F.col("w").alias("pw"))
     j = job_w.select(F.col("record_id").alias("job_id"), "uri", F.col("w").alias("jw"))
-    return p.join(j, "uri").groupBy(*PAIR).agg(F.sum(F.least("pw", "jw")).alias("shared"))
+    return p.join(j, "uri").select(*PAIR, F.least("pw", "jw").alias("least"))
+
+
+def set_overlap(programme_w: DataFrame, job_w: DataFrame) -> DataFrame:
+    """programme_id, job_id, shared: sums of the smaller weights of shared skills."""
+    return smaller_weights(programme_w, job_w).groupBy(*PAIR).agg(F.sum("least").alias("shared"))
 
 
 def set_scores(programme_w: DataFrame, job_w: DataFrame, pairs: DataFrame) -> DataFrame:
     """weighted_jaccard, overlap_coeff and programme_recall of the given pairs."""
+    return set_scores_of(pairs.join(set_overlap(programme_w, job_w), PAIR, "left"), programme_w, job_w)
+
+
+def set_scores_of(shared: DataFrame, programme_w: DataFrame, job_w: DataFrame) -> DataFrame:
+    """The set scores of pairs that carry ``shared``; its other columns stay."""
     total = lambda w, key: w.groupBy(F.col("record_id").alias(key)).agg(F.sum("w").alias(f"sum_{key}"))
     rows = (
-        pairs.join(set_overlap(programme_w, job_w), PAIR, "left")
-        .join(total(programme_w, "programme_id"), "programme_id", "left")
+        shared.join(total(programme_w, "programme_id"), "programme_id", "left")
         .join(total(job_w, "job_id"), "job_id", "left")
         .fillna(0.0, ["shared", "sum_programme_id", "sum_job_id"])
     )
     m, a, b = F.col("shared"), F.col("sum_programme_id"), F.col("sum_job_id")
-    return rows.select(*pairs.columns, ratio(m, a + b - m).alias("weighted_jaccard"), ratio(m, F.least(a, b)).alias("overlap_coeff"), ratio(m, b).alias("programme_recall"))
+    own = [c for c in shared.columns if c != "shared"]
+    return rows.select(*own, ratio(m, a + b - m).alias("weighted_jaccard"), ratio(m, F.least(a, b)).alias("overlap_coeff"), ratio(m, b).alias("programme_recall"))
 
 
 def all_pairs(records: DataFrame) -> DataFrame:
@@ -80,6 +94,55 @@ def vector_scores(pairs: DataFrame, vectors: DataFrame, column: str = "embedding
     return rows.select(*pairs.columns, F.round(cosine, 9).alias("cosine"), F.round("dot", 9).alias("dot"))
 
 
+def vector_blocks(programmes: DataFrame, jobs: DataFrame, column: str = "embedding", top: int | None = None) -> DataFrame:
+    """programme_id, job_id, cosine and dot of every programme's and job's
+    vectors, or of each programme's ``top`` jobs by (cosine, job_id).
+
+    Blocks of BLOCK vectors of either side meet as matrix products; of a block
+    only each programme's top jobs leave it, and the tops of all its blocks
+    are ranked once more. A vector goes to as many tasks as the other side has
+    blocks. Rows without a vector are left out; a zero vector has cosine 0."""
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.where(F.col(column).isNotNull()).select(F.col("record_id").alias(name), F.col(column).cast("array<double>").alias("v"))
+
+    p, j = side(programmes, "programme_id"), side(jobs, "job_id")
+    parts = [max(1, -(-df.count() // BLOCK)) for df in (p, j)]
+    dealt = lambda df, key, own, other, n, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n).cast("long"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    left, right = dealt(p, "programme_id", "pb", "jb", *parts), dealt(j, "job_id", "jb", "pb", *reversed(parts))
+
+    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"programme_id": pd.Series(dtype="int64"), "job_id": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64"), "dot": pd.Series(dtype="float64")})
+        b = b.sort_values("job_id")
+        x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+        dots, scale = x @ y.T, np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
+        cosine = np.round(np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0), 9)
+        if top is None or top >= len(b):
+            rows, columns = np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a))
+        else:
+            columns = np.argsort(-cosine, axis=1, kind="stable")[:, :top].ravel()
+            rows = np.repeat(np.arange(len(a)), top)
+        return pd.DataFrame({"programme_id": a["programme_id"].to_numpy()[rows], "job_id": b["job_id"].to_numpy()[columns], "cosine": cosine[rows, columns], "dot": np.round(dots[rows, columns], 9)})
+
+    scored = left.groupBy("pb", "jb").cogroup(right.groupBy("pb", "jb")).applyInPandas(score, "programme_id long, job_id long, cosine double, dot double")
+    return scored if top is None else top_by(scored, top, F.desc("cosine"), "job_id").drop("rank")
+
+
+def top_set_scores(programme_w: DataFrame, job_w: DataFrame, records: DataFrame, top: int) -> DataFrame:
+    """set_scores, rounded to 9 digits, of each programme's ``top`` jobs by
+    weighted Jaccard, ties by job_id, with ``rank``. Instead of all pairs it
+    ranks the overlapping ones and, with no overlap, each programme's pairs with
+    the first ``top`` jobs, all that zeros can ever need."""
+    ids = lambda kind, name: records.where(F.col("source_type") == kind).select(F.col("record_id").alias(name))
+    first = F.broadcast(ids("job_ad", "job_id").orderBy("job_id").limit(top))
+    zeros = ids("programme", "programme_id").crossJoin(first).withColumn("least", F.lit(0.0))
+    shared = smaller_weights(programme_w, job_w).unionByName(zeros).groupBy(*PAIR).agg(F.sum("least").alias("shared"))
+    scores = set_scores_of(shared, programme_w, job_w)
+    scores = scores.select(*PAIR, *(F.round(c, 9).alias(c) for c in scores.columns if c not in PAIR))
+    return top_by(scores, top, F.desc("weighted_jaccard"), "job_id")
+
+
 def bm25(terms: DataFrame, records: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """bm25_score of overlapping pairs from (record_id, word, tf): programmes
     are the queries (words count as often as they occur), jobs the corpus; a

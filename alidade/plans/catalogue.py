@@ -52,7 +52,7 @@ for _kind, _view in (("uniform", "sym"), ("idf", "sym_idf"), ("programme_idf", "
 
 @query("symbolic_top20", "SELECT programme_id, job_id, row_number() OVER (PARTITION BY programme_id ORDER BY weighted_jaccard DESC, job_id) AS rank, round(weighted_jaccard, 6) AS weighted_jaccard FROM sym QUALIFY rank <= 20")
 def _(v):
-    return A.top_by(v.symbolic(), 20, F.desc("weighted_jaccard"), "job_id").select("programme_id", "job_id", "rank", "weighted_jaccard")
+    return v.symbolic_top(20).select("programme_id", "job_id", "rank", "weighted_jaccard")
 
 
 @query("skill_gaps_uniform", "SELECT * FROM gaps")
@@ -63,7 +63,7 @@ def _(v):
 @query("skill_gaps_weighted", """SELECT programme_id, job_id, j.uri AS gap_uri, round(j.w - coalesce(p.w, 0), 4) AS gap_weight FROM (SELECT * FROM sym_idf QUALIFY row_number() OVER (PARTITION BY programme_id ORDER BY weighted_jaccard DESC, job_id) <= 20) t
     JOIN w_idf j ON j.record_id = job_id LEFT JOIN w_idf p ON p.record_id = programme_id AND p.uri = j.uri WHERE j.w > coalesce(p.w, 0)""")
 def _(v):
-    return A.skill_gaps(v.symbolic("idf"), *v.weights("idf"))
+    return A.skill_gaps(v.symbolic_top(20, "idf"), *v.weights("idf"))
 
 
 @query("uniform_weights", "SELECT record_id, uri, w FROM w_uni")
@@ -109,7 +109,7 @@ def _(v):
 
 @query("semantic_variants_nan", "SELECT p.programme_id, p.job_id, round(s.cosine, 5) AS cosine FROM pairs p LEFT JOIN sem s USING (programme_id, job_id)")
 def _(v):
-    return rounded(A.vector_scores(A.all_pairs(v.records), v.vectors).drop("dot"), 5)
+    return rounded(A.all_pairs(v.records).join(v.semantic.drop("dot"), A.PAIR, "left"), 5)
 
 
 @query("normalisation_diag", "SELECT max(abs(cosine - dot)) > 0.0001 AS differs, count(*) AS n FROM sem")
@@ -119,29 +119,29 @@ def _(v):
 
 @query("candidates_top50", "SELECT programme_id, job_id, round(cosine, 5) AS cosine FROM top50")
 def _(v):
-    return rounded(A.top_by(v.semantic, 50, F.desc("cosine"), "job_id").select("programme_id", "job_id", "cosine"), 5)
+    return rounded(v.nearest.select("programme_id", "job_id", "cosine"), 5)
 
 
 @query("match_quality", "SELECT programme_id, job_id, round(quality, 6) AS quality FROM quality")
 def _(v):
-    top = A.top_by(v.semantic, 50, F.desc("cosine"), "job_id").select("programme_id", "job_id")
+    top = v.nearest.select("programme_id", "job_id")
     return A.match_quality(top, v.skills, v.idf)
 
 
 @query("minmax_norm", "SELECT programme_id, job_id, round(c0, 6) AS c FROM normed")
 def _(v):
-    top = A.top_by(v.semantic, 50, F.desc("cosine"), "job_id").select("programme_id", "job_id", "cosine")
+    top = v.nearest.select("programme_id", "job_id", "cosine")
     return top.select("programme_id", "job_id", A.minmax("cosine").alias("c"))
 
 
 @query("confidence_norm", "SELECT DISTINCT programme_id, round(confidence, 6) AS confidence FROM normed")
 def _(v):
-    return A.confidence(A.top_by(v.semantic, 50, F.desc("cosine"), "job_id"), "cosine").select("programme_id", "confidence").distinct()
+    return A.confidence(v.nearest, "cosine").select("programme_id", "confidence").distinct()
 
 
 @query("ipf_two_tier", "SELECT programme_id, job_id, round(penalty, 6) AS penalty FROM (SELECT *, coalesce(f + (1 - f) * (ipf - min(ipf) OVER ()) / nullif(max(ipf) OVER () - min(ipf) OVER (), 0), 1.0) AS penalty FROM (SELECT t.programme_id, t.job_id, ln(1 + n_programmes::DOUBLE / coalesce(o, 1)) AS ipf, CASE WHEN coalesce(o, 1) >= greatest(2, floor(n_programmes * 0.5)) THEN 0.05::DOUBLE ELSE 0.1::DOUBLE END AS f FROM top50 t LEFT JOIN (SELECT job_id, count(DISTINCT programme_id) AS o FROM (SELECT * FROM top50 QUALIFY row_number() OVER (PARTITION BY programme_id ORDER BY cosine DESC, job_id) <= 30) GROUP BY ALL) USING (job_id), np))")
 def _(v):
-    top = A.top_by(v.semantic, 50, F.desc("cosine"), "job_id").select("programme_id", "job_id", "cosine")
+    top = v.nearest.select("programme_id", "job_id", "cosine")
     return A.frequency_penalty(top, "cosine", v.n_programmes).select("programme_id", "job_id", "penalty")
 
 
@@ -222,7 +222,7 @@ query("cross_summary", f"SELECT round(avg(rho), 6) AS mean, round(median(rho), 6
     (SELECT programme_id, list(job_id) AS l FROM (SELECT * FROM sym QUALIFY row_number() OVER (PARTITION BY programme_id ORDER BY weighted_jaccard DESC, job_id) <= 10) GROUP BY ALL) x FULL JOIN
     (SELECT programme_id, list(job_id) AS l FROM (SELECT * FROM sem QUALIFY row_number() OVER (PARTITION BY programme_id ORDER BY cosine DESC, job_id) <= 10) GROUP BY ALL) y USING (programme_id))""")
 def _(v):
-    return E.top_k_jaccard(_sa(v), _sb(v))
+    return E.top_k_jaccard(v.symbolic_top(10).select("programme_id", "job_id", F.col("weighted_jaccard").alias("sa")), v.nearest.select("programme_id", "job_id", F.col("cosine").alias("sb")))
 
 
 _TOP1 = "(SELECT programme_id, job_id AS {n} FROM {t} QUALIFY row_number() OVER (PARTITION BY programme_id ORDER BY {s} DESC, job_id) = 1)"
@@ -247,7 +247,7 @@ query("consensus", _CONS)(lambda v: E.consensus(list(v.rankings.values())))
     SELECT programme_id, round(avg(r), 6) AS precision, round(CASE WHEN any_value(n) > 0 THEN sum(r / log2(rank + 1)) / any_value(list_sum(list_transform(range(1, least(10, n) + 1), lambda i: 1 / log2(i + 1)))) ELSE 0 END, 6) AS ndcg, round(coalesce(1.0::DOUBLE / min(CASE WHEN r > 0 THEN rank END), 0), 6) AS rr
     FROM t LEFT JOIN (SELECT programme_id, count(*) AS n FROM rel GROUP BY ALL) USING (programme_id) GROUP BY programme_id""")
 def _(v):
-    return E.retrieval_measures(v.semantic, "cosine", E.consensus(list(v.rankings.values())))
+    return E.retrieval_measures(v.nearest, "cosine", E.consensus(list(v.rankings.values())))
 
 
 _COV = """SELECT record_id AS programme_id, coalesce(m, 0) AS n_matches, coalesce(m / n::DOUBLE, 0) AS match_share, coalesce(t, 0.0::DOUBLE) AS top_score, coalesce(a, 0.0::DOUBLE) AS mean_match, coalesce(m, 0) < 5 AS low_coverage FROM rec LEFT JOIN
@@ -276,7 +276,7 @@ _CELLS = f"SELECT p.cluster_label::BIGINT AS programme_cluster, j.cluster_label:
 
 
 def _cells(v):
-    return E.contingency(E.top1(v.symbolic(), "weighted_jaccard"), v.clusters)
+    return E.contingency(E.top1(v.symbolic_top(1), "weighted_jaccard"), v.clusters)
 
 
 query("contingency", _CELLS)(_cells)
@@ -287,7 +287,7 @@ query("cramers_v", f"""WITH c AS ({_CELLS}), m AS (SELECT (SELECT sum(n) FROM c)
 
 @query("cluster_scores", "SELECT cluster_label::BIGINT AS cluster_label, round(avg(m), 6) AS mean_top, count(*) AS n FROM (SELECT programme_id, avg(weighted_jaccard) AS m FROM (SELECT * FROM sym QUALIFY row_number() OVER (PARTITION BY programme_id ORDER BY weighted_jaccard DESC, job_id) <= 10) GROUP BY ALL) JOIN clu ON record_id = programme_id GROUP BY ALL")
 def _(v):
-    rows = E.mean_top_scores(v.symbolic(), "weighted_jaccard").join(v.clusters, F.col("record_id") == F.col("programme_id"))
+    rows = E.mean_top_scores(v.symbolic_top(10), "weighted_jaccard").join(v.clusters, F.col("record_id") == F.col("programme_id"))
     return rows.groupBy("cluster_label").agg(F.avg("mean_top").alias("mean_top"), F.count("*").alias("n"))
 
 
@@ -326,7 +326,7 @@ def _(v):
 @query("wilcoxon_stat", f"""WITH a AS (SELECT programme_id, m AS x FROM {_MEANS['sym']}), b AS (SELECT programme_id, m AS y FROM {_MEANS['sem']}), d AS (SELECT round(x - y, 9) AS d FROM a JOIN b USING (programme_id)), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r FROM d WHERE d <> 0)
     SELECT count(*) AS n, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0))::DOUBLE AS statistic, round(1 - 2 * least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) / (count(*) * (count(*) + 1) / 2.0::DOUBLE), 6) AS effect FROM r""")
 def _(v):
-    a, b = E.mean_top_scores(v.symbolic(), "weighted_jaccard"), E.mean_top_scores(v.semantic, "cosine")
+    a, b = E.mean_top_scores(v.symbolic_top(10), "weighted_jaccard"), E.mean_top_scores(v.nearest, "cosine")
     both = a.join(b.withColumnRenamed("mean_top", "other"), "programme_id").select(F.round(F.col("mean_top") - F.col("other"), 9).alias("d"), F.lit(0.0).alias("z"))
     return E.signed_rank(both, "d", "z")
 
@@ -383,7 +383,7 @@ def _(v):
 
 @query("top1_changes", f"SELECT programme_id, sym_job AS base_job, sem_job AS other_job, sym_job <> sem_job AS changed FROM {_TSYM} JOIN {_TSEM} USING (programme_id)")
 def _(v):
-    return P.changes(E.top1(v.symbolic(), "weighted_jaccard"), E.top1(v.semantic, "cosine"))
+    return P.changes(E.top1(v.symbolic_top(1), "weighted_jaccard"), E.top1(v.nearest, "cosine"))
 
 
 _ABL = "SELECT config, count(*) AS n_skills, count(DISTINCT record_id) AS n_records, count(DISTINCT uri) AS n_uris FROM skills, (VALUES " + ", ".join(f"('{k}', {a}, {b}, {c}, {d})" for k, (a, b, c, d) in P.ABLATIONS.items()) + ") g(config, a, b, c, d) WHERE (a * 0.5::DOUBLE + b * (tf >= 3)::INT + c * explicit::INT + d * confidence) / (a + b + c + d) >= 0.35 GROUP BY config"
@@ -494,13 +494,13 @@ _PG = "(SELECT programme_id, job_id, array_to_string(list(gap_uri ORDER BY gap_w
 
 @query("recommendations", f"SELECT t.programme_id, t.job_id, t.rank, round(t.cosine, 5) AS score, 'semantic' AS strategy, coalesce(g.gaps, '') AS gaps FROM (SELECT *, row_number() OVER (PARTITION BY programme_id ORDER BY cosine DESC, job_id) AS rank FROM sem QUALIFY rank <= 10) t LEFT JOIN {_PG} g USING (programme_id, job_id)")
 def _(v):
-    rows = R.recommendations(v.semantic, "cosine", "semantic", v.gaps)
+    rows = R.recommendations(v.nearest, "cosine", "semantic", v.gaps)
     return rounded(rows.withColumn("gaps", F.array_join("gaps", ",")), 5)
 
 
 @query("export_mapping", f"SELECT t.programme_id, t.job_id, t.rank, round(t.weighted_jaccard, 6) AS score, coalesce(g.missing, '') AS missing FROM (SELECT *, row_number() OVER (PARTITION BY programme_id ORDER BY weighted_jaccard DESC, job_id) AS rank FROM sym QUALIFY rank <= 10) t LEFT JOIN (SELECT programme_id, job_id, array_to_string(list(preferred_label ORDER BY gap_weight DESC, gap_uri)[1:3], '; ') AS missing FROM gaps JOIN tax ON uri = gap_uri GROUP BY ALL) g USING (programme_id, job_id)")
 def _(v):
-    return R.export_mapping(v.symbolic(), "weighted_jaccard", v.gaps, v.taxonomy.select("uri", "preferred_label"))
+    return R.export_mapping(v.symbolic_top(10), "weighted_jaccard", v.gaps, v.taxonomy.select("uri", "preferred_label"))
 
 
 @query("text_length_stats", "SELECT round(avg(length(text)), 1) AS mean, round(quantile_cont(length(text), 0.5), 1) AS median, round(quantile_cont(length(text), 0.1), 1) AS p10, round(quantile_cont(length(text), 0.9), 1) AS p90, min(length(text)) AS min, max(length(text)) AS max FROM rec")

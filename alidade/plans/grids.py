@@ -53,7 +53,7 @@ _REBALANCED = f"""(WITH m AS (SELECT alpha, programme_id, job_id, cosine, round(
 
 def _rebalanced(v):
     p, j = v.weights("programme_idf")
-    rows = P.with_grid(A.hybrid_parts(v.semantic, p, j, v.skills, v.idf), "alpha", REBALANCE)
+    rows = P.with_grid(A.hybrid_parts(v.nearest, p, j, v.skills, v.idf), "alpha", REBALANCE)
     rows = rows.withColumn("mixed", F.round(P.mixed("alpha", "c", "r"), 9))
     rows = A.frequency_penalty(rows, "mixed", v.n_programmes, 30, keys=("alpha",), extra_order=(F.desc("cosine"),))
     return rows.select("alpha", "programme_id", "job_id", "cosine", F.round(F.col("mixed") * F.col("penalty"), 9).alias("score"))

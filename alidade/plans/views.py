@@ -86,30 +86,42 @@ class Views:
         scored = A.set_scores(*self.weights(kind), A.all_pairs(self.records))
         return scored.select("programme_id", "job_id", *(F.round(c, 9).alias(c) for c in ("weighted_jaccard", "overlap_coeff", "programme_recall")))
 
+    def symbolic_top(self, top: int, kind: str = "uniform") -> DataFrame:
+        """The first ``top`` rows of each programme of ``symbolic``."""
+        return A.top_set_scores(*self.weights(kind), self.records, top)
+
+    def vector_sides(self) -> list[DataFrame]:
+        typed = self.vectors.join(self.records.select("record_id", "source_type"), "record_id")
+        return [typed.where(F.col("source_type") == kind) for kind in ("programme", "job_ad")]
+
     @cached_property
     def semantic(self) -> DataFrame:
-        have = self.records.join(self.vectors.select("record_id"), "record_id", "left_semi")
-        return kept(A.vector_scores(A.all_pairs(have), self.vectors))
+        return kept(A.vector_blocks(*self.vector_sides()))
+
+    @cached_property
+    def nearest(self) -> DataFrame:
+        """The 50 first rows of each programme of ``semantic``."""
+        return kept(A.vector_blocks(*self.vector_sides(), top=50))
 
     @cached_property
     def hybrid(self) -> DataFrame:
         p, j = self.weights("programme_idf")
-        return kept(A.hybrid(self.semantic, p, j, self.skills, self.idf, self.n_programmes))
+        return kept(A.hybrid(self.nearest, p, j, self.skills, self.idf, self.n_programmes))
 
     @cached_property
     def candidates(self) -> DataFrame:
         """Hybrid candidates with the uniform weighted Jaccard beside the cosine."""
-        top = A.top_by(self.semantic, 50, F.desc("cosine"), "job_id").select("programme_id", "job_id", "cosine")
-        scored = A.set_scores(*self.weights(), top)
+        scored = A.set_scores(*self.weights(), self.nearest.select("programme_id", "job_id", "cosine"))
         return kept(scored.select("programme_id", "job_id", "cosine", F.round("weighted_jaccard", 9).alias("wj")))
 
     @cached_property
     def gaps(self) -> DataFrame:
-        return A.skill_gaps(self.symbolic(), *self.weights())
+        return A.skill_gaps(self.symbolic_top(20), *self.weights())
 
     @cached_property
     def rankings(self) -> dict[str, tuple[DataFrame, str]]:
-        return {"sym": (self.symbolic(), "weighted_jaccard"), "sem": (self.semantic, "cosine"), "hyb": (self.hybrid, "hybrid_score")}
+        """Each strategy's first rows: enough for the ten that agreement and means take."""
+        return {"sym": (self.symbolic_top(10), "weighted_jaccard"), "sem": (self.nearest, "cosine"), "hyb": (self.hybrid, "hybrid_score")}
 
     def ranked(self, df: DataFrame, score: str, name: str) -> DataFrame:
         w = Window.partitionBy("programme_id").orderBy(F.desc(score), "job_id")
