@@ -45,6 +45,15 @@ def set_scores(programme_w: DataFrame, job_w: DataFrame, pairs: DataFrame) -> Da
     return set_scores_of(pairs.join(set_overlap(programme_w, job_w), PAIR, "left"), programme_w, job_w)
 
 
+def candidate_scores(programme_w: DataFrame, job_w: DataFrame, pairs: DataFrame) -> DataFrame:
+    """set_scores of few pairs: only the pairs' own skills are joined, not all
+    that overlap."""
+    p = programme_w.select(F.col("record_id").alias("programme_id"), "uri", F.col("w").alias("pw"))
+    j = job_w.select(F.col("record_id").alias("job_id"), "uri", F.col("w").alias("jw"))
+    shared = pairs.select(*PAIR).join(p, "programme_id").join(j, ["job_id", "uri"]).groupBy(*PAIR).agg(F.sum(F.least("pw", "jw")).alias("shared"))
+    return set_scores_of(pairs.join(shared, PAIR, "left"), programme_w, job_w)
+
+
 def set_scores_of(shared: DataFrame, programme_w: DataFrame, job_w: DataFrame) -> DataFrame:
     """The set scores of pairs that carry ``shared``; its other columns stay."""
     total = lambda w, key: w.groupBy(F.col("record_id").alias(key)).agg(F.sum("w").alias(f"sum_{key}"))
@@ -224,7 +233,7 @@ def hybrid_parts(semantic: DataFrame, programme_w: DataFrame, job_w: DataFrame,
     Set scores are computed for candidates only, which is exact since recall
     is a pair's own and idf is the corpus's."""
     candidates = top_by(semantic.where("cosine is not null"), semantic_top_n, F.desc("cosine"), "job_id").select(*PAIR, "cosine")
-    scored = set_scores(programme_w, job_w, candidates).drop("weighted_jaccard", "overlap_coeff")
+    scored = candidate_scores(programme_w, job_w, candidates).drop("weighted_jaccard", "overlap_coeff")
     scored = match_quality(scored, skills, idf, gamma).withColumn("recall", F.round(F.col("programme_recall") * F.col("quality"), 9))
     scored = confidence(scored, "cosine")
     return scored.withColumn("c", minmax("cosine") * F.col("confidence")).withColumn("r", minmax("recall"))

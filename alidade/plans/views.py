@@ -111,7 +111,7 @@ class Views:
     @cached_property
     def candidates(self) -> DataFrame:
         """Hybrid candidates with the uniform weighted Jaccard beside the cosine."""
-        scored = A.set_scores(*self.weights(), self.nearest.select("programme_id", "job_id", "cosine"))
+        scored = A.candidate_scores(*self.weights(), self.nearest.select("programme_id", "job_id", "cosine"))
         return kept(scored.select("programme_id", "job_id", "cosine", F.round("weighted_jaccard", 9).alias("wj")))
 
     @cached_property
