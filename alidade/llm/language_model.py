@@ -8,8 +8,9 @@ the sum of its tokens' conditional log-probabilities.
 1. Words are counted over the whole corpus. The VOCABULARY most frequent have
    ids; the others share HASHED bucket ids, so the network's size is fixed. A
    word of a bucket scores the bucket's probability times the word's share of
-   the bucket in the full counts, which one join by word looks up: what is
-   gathered grows with the corpus, and no two words are told alike.
+   the bucket in the full counts. The shares of the most frequent KNOWN of them
+   are added up where the text is encoded, one join by word looks up all others:
+   what is gathered grows with the corpus, and no two words are told alike.
 2. Texts are encoded once and stored as ids.
 3. Documents are dealt by a hash of their text to groups of about GROUP_BYTES.
    In each of ROUNDS rounds a group masks one of STEP tokens of each document
@@ -56,6 +57,8 @@ BLOCKS = 32
 GROUP_BYTES = 16 << 20
 SALT_GROUPS = 64
 HELD_WORDS = 400_000
+#: At most so many words' shares go to all tasks, 16 bytes each; the join has the rest.
+KNOWN = 200_000
 _SIZE = CLASSES * WORDS
 _SHARED = HASHED // CLASSES
 
@@ -254,22 +257,30 @@ class Codes(dict):
         return codes.astype(np.uint16).tobytes(), np.frombuffer(self.hashes, np.int64)[places]
 
 
-def encoded(docs: DataFrame, words: dict[bytes, int]) -> DataFrame:
-    """doc_id, h (of the text), ids (two bytes each), rare (hashes of the words
-    without their own id, each as often as it stands) for each row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)  # VOCABULARY words
+def encoded(docs: DataFrame, words: dict[bytes, int], known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, h (of the text), ids (two bytes each), told (the sum of the
+    shares of its words in ``known``: sorted hashes, shares), rare (hashes of
+    the other words without their own id, each as often as it stands) for each
+    row of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast((words, *known))  # VOCABULARY words, KNOWN hashes
 
     def work(batches):
-        codes = Codes(shared.value)
+        words, hashes, shares = shared.value
+        codes = Codes(words)
         for batch in batches:
             both = [codes.encode(text) for text in utf8_rows(batch.column(2))]
-            ends = np.cumsum([0, *(len(r) for _, r in both)]).astype(np.int32)
-            hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *(r for _, r in both)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i for i, _ in both], pa.binary()), hashes], ["doc_id", "h", "ids", "rare"])
+            every = np.concatenate([np.empty(0, np.int64), *(r for _, r in both)])
+            at = np.minimum(np.searchsorted(hashes, every), max(0, len(hashes) - 1))
+            met = hashes[at] == every if len(hashes) else np.zeros(len(every), bool)
+            row = np.repeat(np.arange(len(both)), np.array([len(r) for _, r in both], np.int64))
+            told = np.bincount(row[met], shares[at[met]], len(both))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[~met], minlength=len(both)))]).astype(np.int32)
+            rest = pa.ListArray.from_arrays(pa.array(ends), pa.array(every[~met]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i for i, _ in both], pa.binary()), pa.array(told, pa.float64()), rest], ["doc_id", "h", "ids", "told", "rare"])
 
     text = docs["text"].cast("string")
     rows = docs.select(long_id(docs).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    return rows.mapInArrow(work, "doc_id bigint, h bigint, ids binary, rare array<bigint>")
+    return rows.mapInArrow(work, "doc_id bigint, h bigint, ids binary, told double, rare array<bigint>")
 
 
 def joined(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -360,11 +371,31 @@ def _average(groups: DataFrame, flat: np.ndarray, turn: int, n_groups: int) -> n
 
 
 class Model:
-    """Word ids, the network's weights, the other words' shares (rare, share),
-    and the log of a share for words never met."""
+    """Word ids, the network's weights, the shares of the other words (known:
+    hashes and shares; the rest: rare, share), and the log of a share for words
+    never met."""
 
-    def __init__(self, words: dict[bytes, int], flat: np.ndarray, shares: DataFrame, least: float):
-        self.words, self.flat, self.shares, self.least = words, flat, shares, least
+    def __init__(self, words: dict[bytes, int], flat: np.ndarray, known: tuple[np.ndarray, np.ndarray], shares: DataFrame, least: float):
+        self.words, self.flat, self.known, self.shares, self.least = words, flat, known, shares, least
+
+
+def _known(shares: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame]:
+    """Sorted hashes and shares of the KNOWN most frequent of ``shares`` (rare,
+    share, n) or fewer, and the rows of the others. Which are known changes no
+    score: the join finds the same share."""
+    step = F.floor(8 * F.log2("n")).cast("long")
+    least, many = None, 0
+    for s, n in sorted(shares.groupBy(step.alias("s")).count().collect(), reverse=True):
+        many += n
+        if many > KNOWN:
+            break
+        least = s
+    if least is None:
+        return (np.empty(0, np.int64), np.empty(0)), shares
+    rows = shares.where(step >= least).select("rare", "share").toArrow()  # KNOWN rows
+    hashes, values = (rows.column(k).to_numpy() for k in range(2))
+    order = np.argsort(hashes)
+    return (hashes[order], values[order]), shares.where(step < least)
 
 
 def _dealt(rows: DataFrame, n_groups: int) -> DataFrame:
@@ -377,25 +408,25 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and the encoded rows of ``docs``."""
     counts = stored(word_counts(docs), "word-counts")
     words = vocabulary(counts)
-    rows = stored(encoded(docs, words), "encoded")
     bucket = F.pmod(F.crc32("word"), F.lit(HASHED)).cast("int")
-    known = docs.sparkSession.createDataFrame([(bytearray(w),) for w in words] or [(bytearray(),)], "word binary")  # VOCABULARY rows
-    others = counts.join(F.broadcast(known), "word", "left_anti").select(F.xxhash64("word").alias("rare"), bucket.alias("bucket"), "n")
+    own = docs.sparkSession.createDataFrame([(bytearray(w),) for w in words] or [(bytearray(),)], "word binary")  # VOCABULARY rows
+    others = counts.join(F.broadcast(own), "word", "left_anti").select(F.xxhash64("word").alias("rare"), bucket.alias("bucket"), "n")
     of_bucket = others.groupBy("bucket").agg(F.sum("n").alias("total"))
     totals = {r["bucket"]: r["total"] for r in of_bucket.collect()}  # HASHED rows
     often = np.zeros(_SIZE)
     for k, t in totals.items():
         often[(k % CLASSES) * WORDS + WORDS - _SHARED + k // CLASSES] = t
-    for r in counts.join(F.broadcast(known), "word", "left_semi").collect():
+    for r in counts.join(F.broadcast(own), "word", "left_semi").collect():
         often[words[bytes(r["word"])]] = r["n"]
     log_total = F.element_at(F.create_map(*(x for k, t in sorted(totals.items()) for x in (F.lit(k), F.lit(math.log(t))))), F.col("bucket")) if totals else F.lit(0.0)
-    shares = others.groupBy("rare").agg(F.max(F.log("n") - log_total).alias("share"))
+    known, shares = _known(others.groupBy("rare").agg(F.max(F.log("n") - log_total).alias("share"), F.max("n").alias("n")))
+    rows = stored(encoded(docs, words, known), "encoded")
     flat = Network(often=often).flat()
     total = docs.agg(F.sum(F.octet_length(docs["text"].cast("string")))).first()[0] or 0
     n_groups = max(1, math.ceil(total / GROUP_BYTES))
     for turn in range(ROUNDS):
         flat = _average(_dealt(rows, n_groups), flat, turn, n_groups)
-    return Model(words, flat, shares, -math.log(1 + max(totals.values(), default=1))), rows
+    return Model(words, flat, known, shares, -math.log(1 + max(totals.values(), default=1))), rows
 
 
 def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -405,7 +436,7 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
     if model is None:
         model, rows = train(docs)
     else:
-        rows = stored(encoded(docs, model.words), "encoded")
+        rows = stored(encoded(docs, model.words, model.known), "encoded")
     shared = docs.sparkSession.sparkContext.broadcast(model.flat)
 
     def work(batches):
@@ -419,13 +450,13 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 ends = np.cumsum(sizes)
                 totals += (sums[ends] - sums[ends - sizes]).tolist()
                 counts += sizes.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(totals, pa.float64()), *batch.columns[2:]], ["h", "n_tokens", "total", "doc_id", "n_rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(totals, pa.float64()), *batch.columns[2:]], ["h", "n_tokens", "total", "doc_id", "told", "n_rare"])
 
-    own = rows.select("h", "ids", "doc_id", F.size("rare").alias("n_rare")).mapInArrow(work, "h bigint, n_tokens bigint, total double, doc_id bigint, n_rare int")
+    own = rows.select("h", "ids", "doc_id", "told", F.size("rare").alias("n_rare")).mapInArrow(work, "h bigint, n_tokens bigint, total double, doc_id bigint, told double, n_rare int")
     each = rows.select("h", F.explode("rare").alias("rare"))
     # a mean, so that rows with one text do not add up
     told = each.join(model.shares, "rare", "left").groupBy("h").agg(F.avg(F.coalesce("share", F.lit(model.least))).alias("share"))
-    whole = F.col("total") + F.coalesce(F.col("share") * F.col("n_rare"), F.lit(0.0))
+    whole = F.col("total") + F.col("told") + F.coalesce(F.col("share") * F.col("n_rare"), F.lit(0.0))
     mean = F.when(F.col("n_tokens") > 0, whole / F.col("n_tokens")).otherwise(F.lit(0.0))
     return own.join(told.withColumnRenamed("h", "of"), F.col("h") == F.col("of"), "left").select("doc_id", "n_tokens", whole.alias("log_likelihood"), mean.alias("mean_log_likelihood"))
 

@@ -619,6 +619,19 @@ def test_language_model_does_not_depend_on_the_layout(spark, docs, monkeypatch):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-4, abs=1e-4) for k in a)
 
 
+def test_shares_known_where_texts_are_encoded_and_joined_ones_agree(spark, docs, monkeypatch):
+    both = docs.select("doc_id", "text").unionAll(odd(spark).select(F.col("doc_id") + 10**6, "text"))
+    found = []
+    for most in (0, 2000, 10**6):
+        monkeypatch.setattr(language_model, "KNOWN", most)
+        model, rows = language_model.train(both)
+        joined = rows.agg(F.sum(F.size("rare"))).first()[0]
+        found.append((len(model.known[0]), joined, {r.doc_id: r.log_likelihood for r in language_model.score(both, model).collect()}))
+    (none, every, a), (few, some, b), (all_, left, c) = found
+    assert none == 0 < few <= 2000 < all_ and every > some > left == 0
+    assert all(a[k] == pytest.approx(b[k]) == pytest.approx(c[k]) for k in a) and a.keys() == b.keys() == c.keys()
+
+
 def test_log_probabilities_by_brute_force():
     import math
 
