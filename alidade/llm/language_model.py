@@ -18,8 +18,8 @@ the sum of its tokens' conditional log-probabilities.
    of the network on them in numpy, and sends its change by blocks; blocks are
    summed under salts and then whole, and the average, weighted by masked
    tokens, is the next network. So scores do not depend on how rows lie in
-   partitions or batches. ROUNDS / STEP of all tokens are predicted in
-   training, every one in scoring. The network begins as the unigram model.
+   partitions or batches. Over the rounds every token is predicted once in
+   training, and again in scoring. The network begins as the unigram model.
 
 Rows: null and empty text has no tokens and score 0. Repeated rows are scored
 alike; other columns are ignored; an empty table gives an empty table.
@@ -48,8 +48,9 @@ HASHED = 256
 VOCABULARY = CLASSES * WORDS - HASHED
 WIDTH = 24
 REACH = 2
-ROUNDS = 2
-STEP = 4
+STEP = 2
+#: As many rounds as parts, so that training predicts every token once.
+ROUNDS = STEP
 RATE = 0.3
 BATCH = 4096
 CHUNK = 16384

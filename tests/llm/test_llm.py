@@ -660,6 +660,17 @@ def test_log_probabilities_by_brute_force():
     assert sorted(x for e in every for x in e) == list(range(50))  # rounds mask different places
 
 
+def test_training_predicts_every_token_once(monkeypatch):
+    import numpy as np
+
+    places = []
+    monkeypatch.setattr(language_model.Network, "learn", lambda self, ids, at, rate: places.append(ids[at]))
+    flat = language_model.Network().flat()
+    rows = [(h, np.arange(n, dtype=np.uint16).tobytes()) for h, n in ((99, 50), (-7, 0), (3, 1), (12, 700))]
+    n = sum(language_model.group_change(rows, flat, turn)[0] for turn in range(language_model.ROUNDS))
+    assert n == 751 and sorted(np.concatenate(places)) == sorted([*range(50), 0, *range(700)])
+
+
 def test_nulls_ties_and_empty_tables(spark):
     import public_tokenizers
 
