@@ -1,12 +1,12 @@
 """Main text of web pages by wrapper induction.
 
-Induction. Of each host, up to SAMPLED distinct pages (small ones first, then
-the lowest by a hash) are parsed, and their trees of containers (div, section,
-article, nav ...; cells of layout tables) are aligned one after another by
-simple tree matching with a template that grows by the nodes it lacks. A sample
-that matches no template of its host well begins another one, so a host may
-have several layouts. Samples that repeat an earlier one's longest text are
-copies and left out.
+Induction. Every page is parsed, and the distinct trees of containers (div,
+section, article, nav ...; cells of layout tables) of a host's pages are aligned
+one after another, small ones first, by simple tree matching with a template
+that grows by the nodes it lacks. A tree that matches no template of its host
+well begins another one, so a host may have several layouts. All pages are then
+counted on their templates, by sums; those with one longest text are copies and
+count as one.
 
 A text block that stands at one template node in CONSTANT of the aligned pages
 (at least LEAST_SAME of them) is template; what varies fills slots. For each
@@ -40,20 +40,18 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import long_id, stored, table
 from .urls import host_and_path
 
-SAMPLED = 12
-SALTS = 64
 LEAST_SAME = 3
 CONSTANT = 0.8
 FLAGGED = 0.1
 PREFERRED = 2.0
 MOSTLY = 0.5
-#: A page or sample belongs to a template if it shares so much of both trees.
+#: A page belongs to a template if it shares so much of both trees.
 ALIKE = 0.5
 #: Siblings of one name from so many on are one list; with a class, from three.
 LIST_FROM = 8
@@ -61,6 +59,10 @@ LONG_TEXT = 120
 #: Elements below so many others open none of their own, as in browsers.
 DEEPEST = 512
 CACHED = 20_000
+#: Sums that a task holds before it sends them on.
+HELD = 200_000
+#: Shares are added up in these parts, so that their order changes no sum.
+WHOLE = 1 << 30
 
 _TAG = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|(script|style|noscript|template|svg|iframe|textarea|select|object|math|canvas)\b[^<>]*+>.*?(?:</\1\s*+>|\Z)"
@@ -385,16 +387,22 @@ def parts_of(top) -> list:
 class Template:
     """A node of a template tree."""
 
-    __slots__ = ("children", "flagged", "kept", "name", "pages", "role", "share", "tag", "texts")
+    __slots__ = ("children", "flagged", "kept", "name", "pages", "place", "role", "share", "tag", "texts")
 
     def __init__(self, name: str, tag: str, flagged: bool):
         self.name, self.tag, self.flagged = name, tag, flagged
         self.children: list[Template] = []
-        self.pages, self.share = 0, 0.0
+        self.pages, self.share, self.place = 0, 0.0, -1
         self.texts: Counter = Counter()
         self.role, self.kept = "out", frozenset()
 
 
+def text_hash(text: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def _likeness(pairs: list, a, b) -> float:
     return 2 * len(pairs) / (len(parts_of(a)) + len(parts_of(b)))
 
@@ -426,29 +434,60 @@ def _blocks(part: Shape) -> list[tuple[str, str, int]]:
     return [b for node in part.of for b in node.blocks()]
 
 
+class Layouts:
+    """The templates of a host, grown by one page's shape after another."""
+
+    def __init__(self):
+        self.found: list[Template] = []
+        self._names: list[Counter] = []
+
+    def add(self, page: Shape) -> tuple[int, list[tuple[Template, Shape]]]:
+        """The shape's template, grown by what it lacks, and the pairs. New
+        nodes are numbered as they come."""
+        names = Counter(part.name for part in parts_of(page))
+        size, best = names.total(), None
+        for k, template in enumerate(self.found):
+            both = size + self._names[k].total()
+            # no matching has more pairs than the names in common
+            if 2 * (names & self._names[k]).total() / both < (ALIKE if best is None else best[0]):
+                continue
+            like = 2 * len(matched(template, page)) / both
+            if like >= ALIKE and (best is None or like > best[0]):
+                best = (like, k)
+            if like == 1:
+                break
+        if best is None:
+            best = (0.0, len(self.found))
+            self.found.append(None)
+            self._names.append(Counter())
+        k = best[1]
+        self.found[k], pairs = _grow(self.found[k], page)
+        for t, _ in pairs:
+            if t.place < 0:
+                t.place = self._names[k].total()
+                self._names[k][t.name] += 1
+        return k, pairs
+
+
+def _longest(root: Node) -> str:
+    """The longest text outside what the markup flags."""
+    return max((b[1] for node in walk(root) if not node.flagged for b in node.blocks()), key=len, default="")
+
+
 def induce(pages: list[str]) -> list[Template]:
-    """The templates of a host from some of its pages, with roles decided."""
-    found: list[tuple[Template, list]] = []
-    longest: set[str] = set()
+    """The templates of a host from its pages, with roles decided."""
+    layouts, longest = Layouts(), set()
+    every: list[list] = []
     for html in pages:
         root = parse(html)
-        text = max((b[1] for node in walk(root) if not node.flagged for b in node.blocks()), key=len, default="")
+        text = _longest(root)
         if len(text) >= LONG_TEXT and text in longest:
             continue
         longest.add(text)
-        page = shape(root)
-        best = None
-        for k, (template, _) in enumerate(found):
-            like = _likeness(matched(template, page), template, page)
-            if like >= ALIKE and (best is None or like > best[0]):
-                best = (like, k)
-        if best is None:
-            template, pairs = _grow(None, page)
-            found.append((template, [pairs]))
-        else:
-            template, every = found[best[1]]
-            every.append(_grow(template, page)[1])
-    return [decide(template, every) for template, every in found]
+        k, pairs = layouts.add(shape(root))
+        every += [[] for _ in range(k + 1 - len(every))]
+        every[k].append(pairs)
+    return [decide(template, own) for template, own in zip(layouts.found, every)]
 
 
 def decide(template: Template, every: list[list[tuple[Template, Shape]]]) -> Template:
@@ -457,7 +496,7 @@ def decide(template: Template, every: list[list[tuple[Template, Shape]]]) -> Tem
     for pairs in every:
         for t, part in pairs:
             t.pages += 1
-            t.texts.update({b[1] for b in _blocks(part)})
+            t.texts.update({text_hash(b[1]) for b in _blocks(part)})
     parts = parts_of(template)
     for t in parts:
         t.kept = frozenset(x for x, c in t.texts.items() if c >= max(LEAST_SAME, CONSTANT * t.pages))
@@ -467,7 +506,7 @@ def decide(template: Template, every: list[list[tuple[Template, Shape]]]) -> Tem
         own = {id(t): [0, 0] for t in parts}
         for t, part in pairs:
             for element, text, links in _blocks(part):
-                if text not in t.kept:
+                if text_hash(text) not in t.kept:
                     own[id(t)][0] += max(0, len(text) - links)
                     own[id(t)][1] += element in _HEADINGS
         for t in reversed(parts):
@@ -479,6 +518,13 @@ def decide(template: Template, every: list[list[tuple[Template, Shape]]]) -> Tem
             t.share += own[id(t)][0] / whole / n if whole else 0.0
             if own[id(t)][1]:
                 headed.add(id(t))
+    return assign(template, headed)
+
+
+def assign(template: Template, headed: set[int]) -> Template:
+    """The role of each node from the shares; ``headed`` has the ids of those
+    with a varying heading."""
+    parts = parts_of(template)
     # down to the content's slot
     at = template
     at.role = "way"
@@ -559,6 +605,7 @@ def content(html: str, templates: list[Template] = (), known: dict | None = None
             known[key] = own
     role_of = {id(node): told for part, told in zip(parts, own) for node in part.of}
     lines: list[str] = []
+    same = lambda text, constant: bool(constant) and text_hash(text) in constant
     todo: list = [root]
     while todo:
         item = todo.pop()
@@ -571,9 +618,9 @@ def content(html: str, templates: list[Template] = (), known: dict | None = None
         for k, c in enumerate(children):
             if isinstance(c, Node):
                 mine.append(c)
-            elif c[1] in constant:
+            elif same(c[1], constant):
                 after = children[k + 1] if k + 1 < len(children) else None
-                if role == "content" and c[0] in _HEADINGS and after is not None and (isinstance(after, Node) or after[1] not in constant):
+                if role == "content" and c[0] in _HEADINGS and after is not None and (isinstance(after, Node) or not same(after[1], constant)):
                     mine.append(c[1])
             elif role == "content" or role == "way" and c[0] == "h1":
                 mine.append(c[1])
@@ -581,22 +628,192 @@ def content(html: str, templates: list[Template] = (), known: dict | None = None
     return "\n".join(lines)
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, samples: the pages each host's templates are induced from. Picked
-    on narrow rows (host, hash of the page), dealt over SALTS first, so no host
-    meets whole."""
+def described(pages: DataFrame) -> DataFrame:
+    """host, key (pages with one longest text have one), h (of the page), sig
+    (hash of its shape), shape, blocks for each row of ``pages`` with html.
+
+    ``shape`` lists the parts in order, ``blocks`` (two longs each) the texts'
+    hashes and then part << 33 | heading << 32 | characters outside links."""
+    import json
+
+    def work(batches):
+        for batch in batches:
+            rows = []
+            for h, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                root = parse(html)
+                text = _longest(root)
+                parts = parts_of(shape(root))
+                told = json.dumps([(p.name, p.of[0].tag, p.of[0].flagged, len(p.children)) for p in parts])
+                every = [(k, b) for k, p in enumerate(parts) for b in _blocks(p)]
+                both = [text_hash(b[1]) for _, b in every] + [k << 33 | (b[0] in _HEADINGS) << 32 | max(0, len(b[1]) - b[2]) for k, b in every]
+                rows.append((text_hash(text) if len(text) >= LONG_TEXT else h, text_hash(told), told, np.array(both, np.int64).tobytes()))
+            key, sig, told, blocks = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(key, pa.int64()), batch.column(1), pa.array(sig, pa.int64()), pa.array(told, pa.string()), pa.array(blocks, pa.binary())],
+                ["host", "key", "h", "sig", "shape", "blocks"],
+            )
+
     host = host_and_path(pages["url"].cast("string"))[0]
     html = F.coalesce(pages["html"].cast("string"), F.lit(""))
-    size = F.least(F.lit(15), F.floor(F.log2(F.octet_length("html") / 16384 + 1))).cast("long")
-    order = F.shiftleft(size, 59).bitwiseOR(F.shiftrightunsigned(F.xxhash64("html"), 5))
-    rows = pages.select(host.alias("host"), html.alias("html")).where("html <> ''").withColumn("h", order)
-    narrow = rows.select("host", "h", F.pmod(F.col("h"), F.lit(SALTS)).alias("salt")).distinct()
-    few = narrow.withColumn("r", F.row_number().over(Window.partitionBy("host", "salt").orderBy("h"))).where(F.col("r") <= SAMPLED)
-    few = few.withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy("h"))).where(F.col("r") <= SAMPLED)
-    # written first, so that a small table is broadcast and pages off the samples are never shuffled
-    edge = stored(few.groupBy("host").agg(F.max("h").alias("most")), "sample-edges")
-    picked = rows.join(edge.withColumnRenamed("host", "of"), (F.col("host") == F.col("of")) & (F.col("h") <= F.col("most"))).select("host", "h", "html").dropDuplicates(["host", "h"])
-    return picked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "html"))), lambda s: s["html"]).alias("samples"))
+    rows = pages.select(host.alias("host"), F.xxhash64(html).alias("h"), html.alias("html")).where("html <> ''")
+    return rows.mapInArrow(work, "host string, key long, h long, sig long, shape string, blocks binary")
+
+
+def _read_shape(told: str) -> Shape:
+    import json
+
+    parts = []
+    for name, tag, flagged, n in json.loads(told):
+        part = Shape(name)
+        part.of = [Node(tag, name, flagged)]
+        parts.append((part, n))
+    at = 1
+    for part, n in parts:
+        part.children = [c for c, _ in parts[at : at + n]]
+        at += n
+    return parts[0][0]
+
+
+def grown(rows: DataFrame) -> DataFrame:
+    """host, sig, k, told: the template k of each shape, with the template
+    nodes of its parts and the parts around them; sig null: all templates."""
+    import pickle
+    from itertools import groupby
+
+    def work(batches):
+        def each():
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns))
+
+        def found():
+            for host, own in groupby(each(), key=lambda r: r[0]):
+                layouts = Layouts()
+                for _, sig, told in own:
+                    page = _read_shape(told)
+                    k, pairs = layouts.add(page)
+                    node = {id(part): t.place for t, part in pairs}
+                    parts = parts_of(page)
+                    place = {id(c): i for i, part in enumerate(parts) for c in part.children}
+                    yield host, sig, k, np.array([[node[id(part)] for part in parts], [place.get(id(part), -1) for part in parts]], np.int32).tobytes()
+                trees = []
+                for template in layouts.found:
+                    nodes = sorted(parts_of(template), key=lambda t: t.place)
+                    trees.append([(t.name, t.tag, t.flagged, [c.place for c in t.children]) for t in nodes])
+                yield host, None, len(trees), pickle.dumps(trees)
+
+        yield from _sent(found(), ["host string", "sig long", "k int", "told binary"])
+
+    shapes = rows.groupBy("host", "sig").agg(F.min("shape").alias("shape"))
+    return shapes.repartition("host").sortWithinPartitions("host", F.length("shape"), "shape").select("host", "sig", "shape").mapInArrow(work, "host string, sig long, k int, told binary")
+
+
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def _sent(rows, fields: list[str], most: int = 5000):
+    """Batches of tuples."""
+    from itertools import islice
+
+    names, kinds = zip(*(f.split() for f in fields))
+    rows = iter(rows)
+    while part := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[kind]) for c, kind in zip(zip(*part), kinds)], list(names))
+
+
+def _opened(blocks: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks' text hashes, parts, characters and whether they head."""
+    texts, told = np.frombuffer(blocks, np.int64).reshape(2, -1)
+    return texts, told >> 33, told & 0xFFFFFFFF, told >> 32 & 1
+
+
+def node_counts(rows: DataFrame) -> DataFrame:
+    """host, k, node, text, n: the pages that have a template's node (text
+    null), and that have a text there."""
+
+    def work(batches):
+        held: Counter = Counter()
+        for batch in batches:
+            for host, k, told, blocks in zip(*(c.to_pylist() for c in batch.columns)):
+                at = np.frombuffer(told, np.int32).reshape(2, -1)[0]
+                texts, part, _, _ = _opened(blocks)
+                held.update((host, k, node, None) for node in at.tolist())
+                held.update((host, k, node, text) for node, text in set(zip(at[part].tolist(), texts.tolist())))
+            if len(held) > HELD:
+                yield from sent(held)
+                held = Counter()
+        yield from sent(held)
+
+    def sent(held):
+        return _sent(((*of, n) for of, n in held.items()), ["host string", "k int", "node int", "text long", "n long"])
+
+    return rows.select("host", "k", "told", "blocks").mapInArrow(work, "host string, k int, node int, text long, n long").groupBy("host", "k", "node", "text").agg(F.sum("n").alias("n"))
+
+
+def node_shares(rows: DataFrame) -> DataFrame:
+    """host, k, node, share (sum over the pages, in parts of WHOLE), headed:
+    what varies at and below a template's node; ``rows`` have kept, the
+    template's constant texts as (node, text)."""
+
+    def work(batches):
+        held: dict[tuple[str, int, int], list[int]] = {}
+        constant: dict[tuple[str, int], frozenset] = {}
+        for batch in batches:
+            kept = batch.column(4)
+            for i, (host, k, told, blocks) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]))):
+                if (host, k) not in constant:
+                    if len(constant) > 1000:
+                        constant.clear()
+                    constant[(host, k)] = frozenset((x["node"], x["text"]) for x in kept[i].as_py() or ())
+                same = constant[(host, k)]
+                at, around = np.frombuffer(told, np.int32).reshape(2, -1)
+                texts, part, size, heads = _opened(blocks)
+                varies = np.array([x not in same for x in zip(at[part].tolist(), texts.tolist())], bool)
+                own = np.bincount(part[varies], size[varies], len(at)).astype(np.int64).tolist()
+                headed = np.bincount(part[varies], heads[varies], len(at)).astype(np.int64).tolist()
+                for j in range(len(own) - 1, 0, -1):
+                    own[around[j]] += own[j]
+                    headed[around[j]] += headed[j]
+                for node, x, y in zip(at.tolist(), own, headed):
+                    if x or y:
+                        sums = held.setdefault((host, k, node), [0, 0])
+                        sums[0] += x * WHOLE // own[0] if own[0] else 0
+                        sums[1] |= y > 0
+            if len(held) > HELD:
+                yield from sent(held)
+                held = {}
+        yield from sent(held)
+
+    def sent(held):
+        return _sent(((*of, *sums) for of, sums in held.items()), ["host string", "k int", "node int", "share long", "headed int"])
+
+    sums = rows.select("host", "k", "told", "blocks", "kept").mapInArrow(work, "host string, k int, node int, share long, headed int")
+    return sums.groupBy("host", "k", "node").agg(F.sum("share").alias("share"), F.max("headed").alias("headed"))
+
+
+def _decided(trees: list, stats: list, kept: list) -> list[Template]:
+    """Templates with roles from (k, node, pages, share, headed) and (k, node, text)."""
+    out, every = [], []
+    for tree in trees:
+        nodes = [Template(name, tag, flagged) for name, tag, flagged, _ in tree]
+        for t, (*_, children) in zip(nodes, tree):
+            t.children = [nodes[c] for c in children]
+        every.append(nodes)
+    headed: set[int] = set()
+    for k, node, n, share, heads in stats:
+        t = every[k][node]
+        t.pages, t.share = n, share / WHOLE
+        if heads:
+            headed.add(id(t))
+    texts: dict[tuple[int, int], set] = {}
+    for k, node, text in kept:
+        texts.setdefault((k, node), set()).add(text)
+    for (k, node), own in texts.items():
+        every[k][node].kept = frozenset(own)
+    for nodes in every:
+        for t in reversed(nodes):
+            t.share /= max(1, nodes[0].pages)
+        out.append(assign(nodes[0], headed))
+    return out
 
 
 def _packed(templates: list[Template]) -> bytes:
@@ -624,13 +841,33 @@ def _unpacked(raw: bytes) -> list[Template]:
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, wrapper: each host's templates, packed."""
+    import pickle
+
+    rows = stored(described(pages), "pages")
+    layouts = stored(grown(rows), "layouts")
+    of = layouts.where("sig is not null").select(F.col("host").alias("of"), F.col("sig").alias("of_sig"), "k", "told")
+    # of pages with one key, the one of the least hash
+    one = rows.groupBy("host", "key").agg(F.min(F.struct("h", "sig", "blocks")).alias("p")).select("host", "p.sig", "p.blocks")
+    counted = stored(one.join(of, (F.col("host") == F.col("of")) & (F.col("sig") == F.col("of_sig"))).select("host", "k", "told", "blocks"), "counted")
+    counts = stored(node_counts(counted).where(f"text is null or n >= {LEAST_SAME}"), "node-counts")
+    on = ["host", "k", "node"]
+    n_pages = counts.where("text is null").select(*on, F.col("n").alias("pages"))
+    kept = counts.where("text is not null").join(n_pages, on).where(F.col("n") >= F.greatest(F.lit(float(LEAST_SAME)), CONSTANT * F.col("pages"))).select(*on, "text")
+    kept = stored(kept, "constants")
+    of_template = kept.groupBy("host", "k").agg(F.collect_list(F.struct("node", "text")).alias("kept"))
+    shares = node_shares(counted.join(of_template, ["host", "k"], "left"))
+    stats = n_pages.join(shares, on, "left").groupBy("host").agg(F.collect_list(F.struct("k", "node", "pages", F.coalesce("share", F.lit(0)).alias("share"), F.coalesce("headed", F.lit(0)).alias("headed"))).alias("stats"))
+    texts = kept.groupBy("host").agg(F.collect_list(F.struct("k", "node", "text")).alias("kept"))
+    every = layouts.where("sig is null").select("host", "told").join(stats, "host", "left").join(texts, "host", "left").select("host", "told", "stats", "kept")
 
     def work(batches):
         for batch in batches:
-            packed = [_packed(induce(s)) for s in batch.column(1).to_pylist()]
+            packed = []
+            for told, own, same in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                packed.append(_packed(_decided(pickle.loads(told), [tuple(x.values()) for x in own or ()], [tuple(x.values()) for x in same or ()])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["host", "wrapper"])
 
-    return wrappers(pages).mapInArrow(work, "host string, wrapper binary")
+    return every.mapInArrow(work, "host string, wrapper binary")
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -546,6 +546,22 @@ def test_copies_of_an_article_do_not_become_template():
     assert pages.content(varied[0], pages.induce(varied), {}) == "own 0"
 
 
+def test_wrappers_count_all_pages_of_a_host(spark):
+    def page(k, line, n):
+        words = " ".join(f"w{k * k + i}" for i in range(n))
+        return f"<body><div>Home</div><div><h1>t {k}</h1><p>{line}</p><p>{words}</p></div><div>All rights</div></body>"
+
+    # a line that is one in the small pages varies in the others, which are the most
+    rows = [(k, f"http://a.org/{k}", page(k, "one line" if k < 12 else f"line {k}", 60 if k < 12 else 5000)) for k in range(40)]
+    rows += [(100, "http://b.org/", None), (101, None, page(1, "x", 30))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in pages.extract(df).collect()}
+    assert all(got[k][:2] == [f"t {k}", "one line" if k < 12 else f"line {k}"] and len(got[k]) == 3 for k in range(40))
+    assert got[100] == [""] and got[101][-1].startswith("w1 ")
+    a, b = ({r.host: bytes(r.wrapper) for r in pages.templates(x).collect()} for x in (df.coalesce(1), df.union(df).repartition(7)))
+    assert a == b and set(a) == {"a.org", ""}
+
+
 def test_tree_matching_against_its_definition():
     import random
 
