@@ -401,6 +401,25 @@ def test_near_copies_by_brute_force(spark):
     assert {r.doc_id: r.component_id for r in near_copies.near_copies(both).collect()} == {k: top(k) for k in sets}
 
 
+def test_near_copies_are_found_by_simhash_too(spark):
+    words = [f"w{k}" for k in range(4000)]
+    texts_ = [" ".join(words), " ".join([*words, "more"]), " ".join(words[2000:]), " ".join(f"x{k}" for k in range(4000)), "", "a b", None]
+    d = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    rows = near_copies._keyed(d)
+    sets = [near_copies.shingles((t or "").encode()) for t in texts_]
+    sims = [simhash.of_hashes(s) for s in sets]
+    for own, sim in zip(sets, sims):
+        votes = [sum(int(x) >> bit & 1 for x in own) for bit in range(64)]
+        assert sim == sum(1 << bit for bit in range(64) if 2 * votes[bit] > len(own))
+    assert (sims[0] ^ sims[1]).bit_count() <= 2 < min((sims[0] ^ sims[k]).bit_count() for k in (2, 3))
+    fp = {r.doc_id: r.fp for r in rows.collect()}
+    key = {r.fp: r.key for r in near_copies.simhash_buckets(rows).collect()}
+    assert key.keys() == {fp[k] for k in (0, 1, 2, 3, 5)} and key[fp[0]] == key[fp[1]] and len(set(key.values())) == 4
+    # with no key in common, SimHash alone leads to the link
+    alone = rows.withColumn("keys", F.when(F.size("keys") > 0, F.array("fp")).otherwise(F.col("keys")))
+    assert [{r.a, r.b} for r in near_copies._links(d, alone).collect()] == [{fp[0], fp[1]}]
+
+
 def test_pipeline_stage_drops_near_copies(spark):
     import corpus_pipeline
 
