@@ -11,7 +11,8 @@ the sum of its tokens' conditional log-probabilities.
    the bucket in the full counts. The shares of the most frequent KNOWN of them
    are added up where the text is encoded, one join by word looks up all others:
    what is gathered grows with the corpus, and no two words are told alike.
-2. Texts are encoded once and stored as ids.
+2. Texts are encoded once and stored as ids. Slices of about SLICE bytes are
+   split by Arrow, and each different word of a slice is looked up once.
 3. Documents are dealt by a hash of their text to groups of about GROUP_BYTES.
    In each of ROUNDS rounds a group masks one of STEP tokens of each document
    (other ones each round, by the document's hash and the place), trains a copy
@@ -32,15 +33,14 @@ import glob
 import math
 import os
 import zlib
-from array import array
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, long_id, stored, table, utf8_rows
+from .common import LOWER, long_id, slices, stored, table  # noqa: F401 (LOWER: for tests)
 
 CLASSES = 64
 WORDS = 64
@@ -58,38 +58,64 @@ BLOCKS = 32
 GROUP_BYTES = 16 << 20
 SALT_GROUPS = 64
 HELD_WORDS = 400_000
+#: Texts are split into words by so many bytes at once; a longer text alone.
+SLICE = 4 << 20
 #: At most so many words' shares go to all tasks, 16 bytes each; the join has the rest.
 KNOWN = 200_000
 _SIZE = CLASSES * WORDS
 _SHARED = HASHED // CLASSES
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words (binary) of some texts, the place among them of each
+    word as it stands, and where each text's words begin, with their end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    coded = lists.flatten().dictionary_encode()
+    words, codes, edges = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy(), lists.offsets.to_numpy()
+    edges = edges - edges[0]
+    nothing = pc.index(words, b"").as_py()
+    if nothing >= 0:  # white space at a text's ends leaves empty words there
+        keep = codes != nothing
+        codes, edges = codes[keep], np.concatenate([[0], np.cumsum(keep)])[edges]
+    return words, codes, edges
+
+
+def text_slices(batch: pa.RecordBatch, column: int):
+    """Parts of a batch whose texts hold about SLICE bytes."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    for a, b in slices(sizes, SLICE):
+        yield batch.slice(a, b - a)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (binary), n over all documents; partitions send sums."""
 
     def work(batches):
-        def sent(held):
-            words = list(held)
-            for a in range(0, len(words), 50_000):
-                part = words[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([held[w] for w in part], pa.int64())], ["word", "n"])
+        held: list[pa.Table] = []
+
+        def added():
+            sums = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return pa.table({"word": sums["word"], "n": sums["n_sum"]})
 
-        held: Counter = Counter()
         for batch in batches:
-            for text in utf8_rows(batch.column(0)):
-                held.update(text.translate(LOWER).split())
-            if len(held) > HELD_WORDS:
-                yield from sent(held)
-                held = Counter()
-        yield from sent(held)
+            for part in text_slices(batch, 0):
+                words, codes, _ = split_words(part.column(0))
+                n = np.bincount(codes, minlength=len(words))
+                held.append(pa.table({"word": words, "n": pa.array(n, pa.int64())}).filter(pa.array(n > 0)))
+                if sum(map(len, held)) > HELD_WORDS:
+                    held = [added()]
+                    if len(held[0]) > HELD_WORDS // 2:
+                        yield from held[0].to_batches(50_000)
+                        held = []
+        if held:
+            yield from added().to_batches(50_000)
 
     return docs.select(docs["text"].cast("string").alias("text")).mapInArrow(work, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def bucket_of(word: bytes) -> int:
-    """The id that words without their own share: the last of each class."""
-    h = zlib.crc32(word) % HASHED
-    return (h % CLASSES) * WORDS + WORDS - _SHARED + h // CLASSES
+def bucket_id(bucket):
+    """The id that a bucket's words share: one of the last of each class."""
+    return (bucket % CLASSES) * WORDS + WORDS - _SHARED + bucket // CLASSES
 
 
 def vocabulary(counts: DataFrame) -> dict[bytes, int]:
@@ -128,62 +154,78 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([self.inputs.ravel(), self.classes.ravel(), self.words.ravel()])
 
-    def _hidden(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        around = [ids[at + o] for o in (*range(-REACH, 0), *range(1, REACH + 1))]
-        total = self.inputs[0][around[0]]
-        for place, near in enumerate(around[1:], 1):
-            total += self.inputs[place][near]
-        return np.hstack([np.tanh(total), np.ones((len(at), 1), np.float32)]), around
-
-    def _by_class(self, hidden: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Rows in order of class, where each class begins, their hidden values
-        in that order, and what their class's words get."""
-        order = np.argsort(cls.astype(np.int16), kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        own, out = hidden[order], np.empty((len(cls), WORDS), np.float32)
-        for c in range(CLASSES):
-            a, b = edges[c], edges[c + 1]
-            if a < b:
-                np.matmul(own[a:b], self.words[c].T, out=out[a:b])
-        return order, edges, own, out
+    def _hidden(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hidden values, and the rows of all inputs they come from, by place."""
+        around = np.stack([ids[at + o] for o in (*range(-REACH, 0), *range(1, REACH + 1))])
+        around[around < 0] = _SIZE
+        around += np.arange(2 * REACH, dtype=around.dtype)[:, None] * (_SIZE + 1)
+        rows = self.inputs.reshape(-1, WIDTH)
+        total = np.take(rows, around[0], axis=0)
+        for near in around[1:]:
+            total += np.take(rows, near, axis=0)
+        hidden = np.ones((len(at), WIDTH + 1), np.float32)
+        np.tanh(total, out=hidden[:, :-1])
+        return hidden, around
+
+    def _by_class(self, hidden: np.ndarray, cls: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+        """For rows in order of class: each class met with its first row and
+        its end, and what its words get."""
+        edges = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        met = [(c, a, b) for c, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
+        out = np.empty((len(cls), WORDS), np.float32)
+        for c, a, b in met:
+            np.matmul(hidden[a:b], self.words[c].T, out=out[a:b])
+        return met, out
 
     def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.empty(len(at), np.float32)
         for a in range(0, len(at), CHUNK):
             here = at[a : a + CHUNK]
+            order = _class_order(ids[here])
+            here = here[order]
             hidden, _ = self._hidden(ids, here)
             cls, word = np.divmod(ids[here], WORDS)
             own = _log_softmax_at(hidden @ self.classes.T, cls)
-            order, _, _, z = self._by_class(hidden, cls)
-            own[order] += _log_softmax_at(z, word[order])
-            out[a : a + CHUNK] = own
+            own += _log_softmax_at(self._by_class(hidden, cls)[1], word)
+            out[a + order] = own
         return out
 
     def learn(self, ids: np.ndarray, at: np.ndarray, rate: float) -> None:
         """One pass of gradient steps over the masked places."""
+        rows = self.inputs.reshape(-1, WIDTH)
         for a in range(0, len(at), BATCH):
             here = at[a : a + BATCH]
-            n = len(here)
+            here, n = here[_class_order(ids[here])], len(here)
             hidden, around = self._hidden(ids, here)
             cls, word = np.divmod(ids[here], WORDS)
             p = _softmax(hidden @ self.classes.T)
             p[np.arange(n), cls] -= 1
-            back = p @ self.classes
+            back = p @ self.classes[:, :-1]
             self.classes -= rate * np.clip(p.T @ hidden / np.sqrt(n), -1, 1) / 2
-            order, edges, own, z = self._by_class(hidden, cls)
-            q, below = _softmax(z), np.empty_like(own)
-            q[np.arange(n), word[order]] -= 1
-            for c in range(CLASSES):
-                a_, b_ = edges[c], edges[c + 1]
-                if a_ < b_:
-                    np.matmul(q[a_:b_], self.words[c], out=below[a_:b_])
-                    self.words[c] -= rate * np.clip(q[a_:b_].T @ own[a_:b_] / np.sqrt(b_ - a_), -1, 1) / 2
-            back[order] += below
-            grad = np.clip(back[:, :-1] * (1 - hidden[:, :-1] ** 2), -1, 1) * (rate / 2)
-            for place, near in enumerate(around):
-                order = np.argsort(near.astype(np.int16), kind="stable")
-                firsts = np.flatnonzero(np.diff(near[order], prepend=-2))
-                self.inputs[place][near[order[firsts]]] -= np.add.reduceat(grad[order], firsts, axis=0)
+            met, z = self._by_class(hidden, cls)
+            q, below = _softmax(z), np.empty_like(back)
+            q[np.arange(n), word] -= 1
+            change = np.zeros_like(self.words)
+            for c, a_, b_ in met:
+                np.matmul(q[a_:b_], self.words[c, :, :-1], out=below[a_:b_])
+                np.matmul(q[a_:b_].T, hidden[a_:b_], out=change[c])
+                change[c] *= 1 / math.sqrt(b_ - a_)
+            np.clip(change, -1, 1, out=change)
+            change *= rate / 2
+            self.words -= change
+            back += below
+            grad = np.clip(back * (1 - hidden[:, :-1] ** 2), -1, 1) * (rate / 2)
+            keys = around.ravel().astype(np.uint16)  # fewer rows than 2^16: sorted by digits
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            # two values as one complex number: half as many sums to begin
+            sums = np.add.reduceat(np.take(grad, order % n, axis=0).view(np.complex64), firsts, axis=0).view(np.float32)
+            rows[keys[firsts]] -= sums
+
+
+def _class_order(ids: np.ndarray) -> np.ndarray:
+    return np.argsort((ids // WORDS).astype(np.int16), kind="stable")
 
 
 def one_thread() -> None:
@@ -225,39 +267,6 @@ def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     return z[np.arange(len(z)), at] - np.log(total)
 
 
-class Codes(dict):
-    """word -> id, or _SIZE and more for words without their own id: places in
-    the tables of their buckets and hashes, which grow as words are met."""
-
-    def __init__(self, words: dict[bytes, int]):
-        from xxhash import xxh64_digest
-
-        super().__init__(words)
-        self._words, self._digest = words, xxh64_digest
-        self.buckets, self.hashes = array("H"), array("q")
-
-    def __missing__(self, word: bytes) -> int:
-        k = self[word] = _SIZE + len(self.buckets)
-        self.buckets.append(bucket_of(word))
-        self.hashes.append(int.from_bytes(self._digest(word, 42), "big", signed=True))
-        return k
-
-    def encode(self, text: bytes) -> tuple[bytes, np.ndarray]:
-        """A text's ids, and the hashes of its words without their own."""
-        if len(self.buckets) > HELD_WORDS:
-            self.clear()
-            self.update(self._words)
-            self.buckets, self.hashes = array("H"), array("q")
-        words = text.translate(LOWER).split()
-        codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        rare = np.flatnonzero(codes >= _SIZE)
-        places = codes[rare] - _SIZE
-        if not len(rare):
-            return codes.astype(np.uint16).tobytes(), places
-        codes[rare] = np.frombuffer(self.buckets, np.uint16)[places]
-        return codes.astype(np.uint16).tobytes(), np.frombuffer(self.hashes, np.int64)[places]
-
-
 def encoded(docs: DataFrame, words: dict[bytes, int], known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, h (of the text), ids (two bytes each), told (the sum of the
     shares of its words in ``known``: sorted hashes, shares), rare (hashes of
@@ -266,18 +275,35 @@ def encoded(docs: DataFrame, words: dict[bytes, int], known: tuple[np.ndarray, n
     shared = docs.sparkSession.sparkContext.broadcast((words, *known))  # VOCABULARY words, KNOWN hashes
 
     def work(batches):
+        from xxhash import xxh64_intdigest
+
         words, hashes, shares = shared.value
-        codes = Codes(words)
+        own, own_ids = pa.array(list(words), pa.binary()), np.array(list(words.values()), np.uint16)
         for batch in batches:
-            both = [codes.encode(text) for text in utf8_rows(batch.column(2))]
-            every = np.concatenate([np.empty(0, np.int64), *(r for _, r in both)])
-            at = np.minimum(np.searchsorted(hashes, every), max(0, len(hashes) - 1))
-            met = hashes[at] == every if len(hashes) else np.zeros(len(every), bool)
-            row = np.repeat(np.arange(len(both)), np.array([len(r) for _, r in both], np.int64))
-            told = np.bincount(row[met], shares[at[met]], len(both))
-            ends = np.concatenate([[0], np.cumsum(np.bincount(row[~met], minlength=len(both)))]).astype(np.int32)
-            rest = pa.ListArray.from_arrays(pa.array(ends), pa.array(every[~met]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i for i, _ in both], pa.binary()), pa.array(told, pa.float64()), rest], ["doc_id", "h", "ids", "told", "rare"])
+            for part in text_slices(batch, 2):
+                found, codes, edges = split_words(part.column(2))
+                at = pc.fill_null(pc.index_in(found, value_set=own), -1).to_numpy()
+                other = np.flatnonzero(at < 0)
+                texts = found.take(pa.array(other)).to_numpy(zero_copy_only=False)
+                buckets = np.fromiter(map(zlib.crc32, texts), np.int64, len(texts)) % HASHED
+                ids = np.empty(len(found), np.uint16)
+                ids[at >= 0] = own_ids[at[at >= 0]]
+                ids[other] = bucket_id(buckets)
+                # of each word: its hash, whether its share is known, and that share
+                digest, met, share = np.zeros(len(found), np.int64), np.zeros(len(found), bool), np.zeros(len(found))
+                digest[other] = np.fromiter((xxh64_intdigest(w, 42) for w in texts), np.uint64, len(texts)).view(np.int64)
+                if len(hashes):
+                    place = np.minimum(np.searchsorted(hashes, digest[other]), len(hashes) - 1)
+                    met[other] = hashes[place] == digest[other]
+                    share[other] = shares[place]
+                rare = np.flatnonzero((at < 0)[codes])
+                row, rare = np.repeat(np.arange(len(part)), np.diff(edges))[rare], codes[rare]
+                known = met[rare]
+                told = np.bincount(row[known], share[rare[known]], len(part))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row[~known], minlength=len(part)))]).astype(np.int32)
+                rest = pa.ListArray.from_arrays(pa.array(ends), pa.array(digest[rare[~known]]))
+                two = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((2 * edges).astype(np.int32)), pa.py_buffer(ids[codes])])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), two, pa.array(told, pa.float64()), rest], ["doc_id", "h", "ids", "told", "rare"])
 
     text = docs["text"].cast("string")
     rows = docs.select(long_id(docs).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
@@ -296,11 +322,16 @@ def joined(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat, starts, sizes
 
 
+def rounds(h: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The part of STEP that masks each place of documents with hashes ``h``."""
+    x = place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + h.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(33)) % np.uint64(STEP)
+
+
 def masked(h: int, n: int, turn: int) -> np.ndarray:
     """The places of a document that a round masks."""
-    x = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(h & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.flatnonzero((x >> np.uint64(33)) % np.uint64(STEP) == turn % STEP)
+    return np.flatnonzero(rounds(np.array([h & (1 << 64) - 1], np.uint64), np.arange(n)) == turn % STEP)
 
 
 def group_change(rows: list[tuple[int, bytes]], flat: np.ndarray, turn: int) -> tuple[int, np.ndarray]:
@@ -311,8 +342,10 @@ def group_change(rows: list[tuple[int, bytes]], flat: np.ndarray, turn: int) ->
 
     def run():
         nonlocal n
-        ids, starts, sizes = joined([r for _, r in begun])
-        at = np.concatenate([a + masked(h, int(m), turn) for (h, _), a, m in zip(begun, starts, sizes)])
+        ids, _, sizes = joined([r for _, r in begun])
+        hashes, before = np.array([h for h, _ in begun], np.int64), np.cumsum(sizes) - sizes
+        place = np.arange(sizes.sum()) - np.repeat(before, sizes)
+        at = np.flatnonzero(ids >= 0)[rounds(np.repeat(hashes, sizes), place) == turn % STEP]
         net.learn(ids, at, rate)
         n += len(at)
         begun.clear()
@@ -416,7 +449,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     totals = {r["bucket"]: r["total"] for r in of_bucket.collect()}  # HASHED rows
     often = np.zeros(_SIZE)
     for k, t in totals.items():
-        often[(k % CLASSES) * WORDS + WORDS - _SHARED + k // CLASSES] = t
+        often[bucket_id(k)] = t
     for r in counts.join(F.broadcast(own), "word", "left_semi").collect():
         often[words[bytes(r["word"])]] = r["n"]
     log_total = F.element_at(F.create_map(*(x for k, t in sorted(totals.items()) for x in (F.lit(k), F.lit(math.log(t))))), F.col("bucket")) if totals else F.lit(0.0)

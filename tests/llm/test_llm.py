@@ -706,6 +706,74 @@ def test_training_predicts_every_token_once(monkeypatch):
     assert n == 751 and sorted(np.concatenate(places)) == sorted([*range(50), 0, *range(700)])
 
 
+def test_words_are_split_and_counted_as_bytes_are(spark, docs, monkeypatch):
+    import pyarrow as pa
+
+    plain = lambda t: (t or "").encode().translate(language_model.LOWER).split()
+    own = [*ODD, " a  B\x0b\x0c\x1cc\u00a0\u00c9 \u0130 ", "\r\nx\x00Y\x85 \x1f z\t", *texts(docs).values()]
+    for column in (pa.array(own), pa.array(own).slice(3, 9), pa.array(own, pa.large_string()), pa.array([], pa.string())):
+        words, codes, edges = language_model.split_words(column)
+        words = words.to_pylist()
+        assert [[words[c] for c in codes[a:b]] for a, b in zip(edges[:-1], edges[1:])] == [plain(t) for t in column.to_pylist()]
+    monkeypatch.setattr(language_model, "SLICE", 3000)
+    parts = list(language_model.text_slices(pa.RecordBatch.from_arrays([pa.array(own)], ["text"]), 0))
+    assert len(parts) > 5 and [t for p in parts for t in p.column(0).to_pylist()] == own
+    df = spark.createDataFrame([(t,) for t in own], "text string").repartition(3)
+    want = Counter(w for t in own for w in plain(t))
+    for most in (20, 400_000):  # sums are sent early, or at the end
+        monkeypatch.setattr(language_model, "HELD_WORDS", most)
+        assert {bytes(r.word): r.n for r in language_model.word_counts(df).collect()} == want
+
+
+def test_words_cost_less_than_one_look_up_each(docs):
+    import time
+
+    import pyarrow as pa
+
+    own = pa.array([*texts(docs).values()] * 20)
+
+    def by_word():
+        held = Counter()
+        for t in own.cast(pa.binary()).to_pylist():
+            held.update(t.translate(language_model.LOWER).split())
+        return held
+
+    def cpu(work):
+        at = time.thread_time()
+        work()
+        return time.thread_time() - at
+
+    assert min(cpu(lambda: language_model.split_words(own)) for _ in range(7)) < 0.8 * min(cpu(by_word) for _ in range(7))
+
+
+def test_a_training_step_by_brute_force():
+    import numpy as np
+
+    m = language_model
+    rng = np.random.default_rng(5)
+    net = m.Network(rng.normal(0, 0.4, len(m.Network().flat())).astype(np.float32))
+    ids, _, _ = m.joined([rng.integers(0, 130, n).astype(np.uint16).tobytes() for n in (9, 1, 40)])
+    at, rate = np.flatnonzero(ids >= 0)[::2], 0.3
+    inputs, classes, words = (x.astype(float) for x in (net.inputs, net.classes, net.words))
+    into, to_class, to_word = np.zeros_like(inputs), np.zeros_like(classes), np.zeros_like(words)
+    met = Counter(int(ids[i]) // m.WORDS for i in at)
+    for i in at:
+        near = [int(ids[i + o]) for o in (-2, -1, 1, 2)]
+        h = np.append(np.tanh(sum(inputs[k][x] for k, x in enumerate(near))), 1)
+        c, k = divmod(int(ids[i]), m.WORDS)
+        p, q = np.exp(classes @ h), np.exp(words[c] @ h)
+        p, q = p / p.sum() - (np.arange(m.CLASSES) == c), q / q.sum() - (np.arange(m.WORDS) == k)
+        to_class += np.outer(p, h) / len(at) ** 0.5
+        to_word[c] += np.outer(q, h) / met[c] ** 0.5
+        back = ((p @ classes + q @ words[c]) * (1 - h**2))[:-1]
+        for place, x in enumerate(near):
+            into[place][x] += np.clip(back, -1, 1)
+    net.learn(ids, at, rate)
+    assert np.allclose(net.classes, classes - rate / 2 * np.clip(to_class, -1, 1), atol=1e-4)
+    assert np.allclose(net.words, words - rate / 2 * np.clip(to_word, -1, 1), atol=1e-4)
+    assert np.allclose(net.inputs, inputs - rate / 2 * into, atol=1e-4)
+
+
 def test_nulls_ties_and_empty_tables(spark):
     import public_tokenizers
 
