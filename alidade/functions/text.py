@@ -6,6 +6,7 @@ import unicodedata
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,12 +68,18 @@ def strip_html(text: Column) -> Column:
     return strip(text)
 
 
+#: Texts that an Arrow function holds as Python strings at a time.
+SLICE = 256
+
+
 def nfc(text: Column) -> Column:
-    """NFC, no-break space to space, zero-width characters dropped (Arrow)."""
+    """NFC, no-break space to space, zero-width characters dropped (Arrow; of a
+    batch only SLICE texts are Python strings at a time)."""
 
-    @F.pandas_udf("string")
-    def form(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+    @F.arrow_udf("string")
+    def form(s: pa.Array) -> pa.Array:
+        done = [pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in s.slice(a, SLICE).to_pylist()], pa.string()) for a in range(0, len(s), SLICE)]
+        return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
     return F.translate(form(text), "\u00a0\u200b\u200c\ufeff", " ")
 
