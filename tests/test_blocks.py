@@ -127,3 +127,26 @@ def test_matches_make_no_runs_longer_than_a_label(spark):
     assert rows(got, "record_id", "uri", "hits") == [(1, "u", 2), (1, "w", 1)]
     # runs of one and two words: one transform makes the pairs
     assert got._jdf.queryExecution().analyzed().toString().count("transform(") == 1
+
+
+def test_near_pairs_send_no_signatures_to_all_tasks(spark):
+    from alidade.operators import dedup as D
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**60, (30, D.WIDTH))
+    signs = []
+    for k in range(300):
+        s = base[k % 30].copy()
+        s[rng.permutation(D.WIDTH)[: rng.integers(0, 30)]] = rng.integers(0, 2**60)
+        signs.append((k, *map(int, s)))
+    df = spark.createDataFrame(signs, ", ".join(["record_id long", *(f"h{i} long" for i in range(D.WIDTH))]))
+    m = np.array([s[1:] for s in signs])
+    want = {(a, b) for a in range(300) for b in range(a + 1, 300) if (m[a] == m[b]).mean() >= 0.85}
+    copies = {(a, b) for a, b in want if (m[a] == m[b]).all()}
+    got = D.near_pairs(df)
+    pairs = {(r.a, r.b): r.similarity for r in got.collect()}
+    assert want - copies and all(pairs[p] == pytest.approx((m[p[0]] == m[p[1]]).mean()) for p in pairs)
+    least = {k: min(x for x in range(300) if (m[x] == m[k]).all()) for k in range(300)}
+    assert set(pairs) == {(a, b) for a, b in want if least[b] == b and least[a] == a or least[b] == a}
+    # s is wide: neither side of a join may be broadcast
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
