@@ -150,3 +150,22 @@ def test_near_pairs_send_no_signatures_to_all_tasks(spark):
     assert set(pairs) == {(a, b) for a, b in want if least[b] == b and least[a] == a or least[b] == a}
     # s is wide: neither side of a join may be broadcast
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_linkage_and_density_trees_of_more_rows_than_one_process_takes(spark, monkeypatch):
+    from alidade.operators import clustering as C
+
+    rng = np.random.default_rng(2)
+    points = np.vstack([rng.normal(c, 0.3, (60, 4)) for c in (0, 3, 6)] + [rng.normal(0, 4, (20, 4))])
+    near = [round(w, 9) for w, _, _ in C.spanning_tree(points, 5)]
+    assert [round(w, 9) for w, _, _ in C.spanning_tree_rounds(spark, points, 5)] == near
+    ward = C.linkage_merges(points, "ward")
+    got = C.ward_merges(spark, points, alone=50)
+    assert [round(m[0], 9) for m in got] == [round(m[0], 9) for m in ward]
+    assert C.cut(200, got, 5).tolist() == C.cut(200, ward, 5).tolist()
+    df = spark.createDataFrame([(k, [float(x) for x in p]) for k, p in enumerate(points)], "record_id long, embedding array<double>")
+    for algorithm in ("hdbscan", "agglomerative"):
+        whole = rows(C.fit_clusters(C.vector_features(df), algorithm, 4), "record_id", "cluster_label")
+        monkeypatch.setattr(C, "MOST_LINKED", 100)
+        assert rows(C.fit_clusters(C.vector_features(df), algorithm, 4), "record_id", "cluster_label") == whole
+        monkeypatch.undo()
